@@ -34,10 +34,11 @@ def distance_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Co
     half_lon = F.sin((F.radians(lon_b) - F.radians(lon_a)) / 2)
     h = F.least(F.lit(1.0), half_lat * half_lat + F.cos(beta_a) * F.cos(beta_b) * half_lon * half_lon)
     x = F.asin(F.sqrt(h)) * 2
+    sin_x = F.sqrt(h * (F.lit(1.0) - h)) * 2
     plus = F.sin(beta_a) + F.sin(beta_b)
     minus = F.sin(beta_a) - F.sin(beta_b)
-    shrink = F.try_divide((F.sin(x) - x) * (plus * plus), F.lit(1.0) - h)
-    stretch = F.try_divide((F.sin(x) + x) * (minus * minus), h)
+    shrink = F.try_divide((sin_x - x) * (plus * plus), F.lit(1.0) - h)
+    stretch = F.try_divide((sin_x + x) * (minus * minus), h)
     return F.when(h == 0, F.lit(SAME_POINT_M)).otherwise(F.lit(EQUATOR_M) * (x + flatten * (shrink - stretch)))
 
 

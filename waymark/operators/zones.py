@@ -27,7 +27,7 @@ DIVISOR_BELOW = 100
 UNRANKED = 9000
 
 # Cars with more zones than this are merged in rounds over all tasks instead of one ordered fold per car.
-FOLD_ZONES = 2000
+FOLD_ZONES = 1000
 
 
 def car_addresses(trips: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
@@ -181,78 +181,69 @@ def _around(df: DataFrame) -> DataFrame:
 ORDER = ("center_lon", "center_lat", "zoneid")
 
 
-def zone_merge_pairs(zones: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
-    """Pairs of zone centres of a car within reach of each other, the earlier in (lon, lat) order first.
-
-    Centres meet only through a grid as wide as the reach. The merge itself does not need these pairs.
-    """
-    cells = _with_cells(_centres(zones, keys))
+def _pairs(centres: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Centres ``a`` before ``b`` of one car within reach of each other, met only through a grid as wide as the reach."""
+    cells = _with_cells(centres)
     place = F.struct(*ORDER)
-    earlier = _around(cells.select(*keys, place.alias("a"), "threshold", "_cy", "_cx")).drop("threshold")
+    earlier = _around(cells.select(*keys, place.alias("a"), "_cy", "_cx"))
     later = cells.select(*keys, place.alias("b"), "threshold", "_cy", "_cx")
-    return (
-        later.join(earlier, [*keys, "_cy", "_cx"])
-        .where((F.col("a") < F.col("b")) & _within("a", "b", F.col("threshold")))
-        .select(
-            *keys,
-            F.col("a.zoneid").alias("zoneid"),
-            F.col("b.zoneid").alias("zoneid_near"),
-            geo.metres(
-                F.col("a.center_lat"), F.col("a.center_lon"), F.col("b.center_lat"), F.col("b.center_lon")
-            ).alias("distance"),
-        )
+    return later.join(earlier, [*keys, "_cy", "_cx"]).where(
+        (F.col("a") < F.col("b")) & _within("a", "b", F.col("threshold"))
+    )
+
+
+def _metres_between(a: str, b: str) -> Column:
+    return geo.metres(
+        F.col(f"{a}.center_lat"), F.col(f"{a}.center_lon"), F.col(f"{b}.center_lat"), F.col(f"{b}.center_lon")
+    )
+
+
+def zone_merge_pairs(zones: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
+    """Pairs of zone centres of a car within reach of each other, the earlier in (lon, lat) order first."""
+    return _pairs(_centres(zones, keys), keys).select(
+        *keys,
+        F.col("a.zoneid").alias("zoneid"),
+        F.col("b.zoneid").alias("zoneid_near"),
+        _metres_between("a", "b").alias("distance"),
     )
 
 
 def _fold(centres: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge map of cars with few zones: walk the ordered zones once, holding the kept ones.
+    """Moves of cars with few zones: walk the ordered zones once, holding the kept ones.
 
-    The array holds at most ``FOLD_ZONES`` zones of one car.
+    The arrays hold at most ``FOLD_ZONES`` zones of one car. Each zone brings the earlier zones in its reach in order, so
+    the first of them that was kept is its target.
     """
-    zone = F.struct(*ORDER)
-    empty = "array<struct<center_lon:double,center_lat:double,zoneid:bigint>>"
-    merges = "array<struct<zoneid:bigint,zoneid_new:bigint,cur_dis:bigint>>"
-    ordered = centres.groupBy(*keys, "threshold").agg(F.array_sort(F.collect_list(zone)).alias("zones"))
-
-    def metres_between(a: Column, b: Column) -> Column:
-        return geo.metres(a.center_lat, a.center_lon, b.center_lat, b.center_lon)
+    keys = list(keys)
+    earlier = (
+        _pairs(centres, keys)
+        .groupBy(*keys, F.col("b.zoneid").alias("zoneid"))
+        .agg(F.transform(F.array_sort(F.collect_list("a")), lambda z: z.zoneid).alias("earlier"))
+    )
+    none = F.array().cast("array<bigint>")
+    zone = F.struct(*ORDER, F.coalesce("earlier", none).alias("earlier"))
+    ordered = (
+        centres.join(earlier, [*keys, "zoneid"], "left")
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(zone)).alias("zones"))
+    )
 
     def step(state: Column, z: Column) -> Column:
-        band = 2 * F.col("threshold")
-        # a kept zone west of the band cannot be reached again
-        near = F.filter(
-            state.kept, lambda k: F.rint(F.abs(k.center_lon - z.center_lon) * F.lit(1e5)) <= band
-        )
-        reached = F.filter(near, lambda k: metres_between(k, z) <= F.col("threshold"))
-        found = F.size(reached) > 0
+        target = F.get(F.array_intersect(z.earlier, state.kept), F.lit(0))
+        move = F.struct(z.zoneid.alias("zoneid"), target.alias("zoneid_new"))
         return F.struct(
-            F.when(found, near).otherwise(F.concat(near, F.array(z))).alias("kept"),
-            F.when(
-                found,
-                F.concat(
-                    state.merged,
-                    F.array(
-                        F.struct(
-                            z.zoneid.alias("zoneid"),
-                            F.get(reached, F.lit(0)).zoneid.alias("zoneid_new"),
-                            metres_between(F.get(reached, F.lit(0)), z).alias("cur_dis"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(state.merged)
-            .alias("merged"),
+            F.when(target.isNull(), F.array_append(state.kept, z.zoneid)).otherwise(state.kept).alias("kept"),
+            F.when(target.isNull(), state.moves).otherwise(F.array_append(state.moves, move)).alias("moves"),
         )
 
     start = F.struct(
-        F.array().cast(empty).alias("kept"),
-        F.array().cast(merges).alias("merged"),
+        none.alias("kept"), F.array().cast("array<struct<zoneid:bigint,zoneid_new:bigint>>").alias("moves")
     )
-    return ordered.select(*keys, F.explode(F.aggregate("zones", start, step).merged).alias("m")).select(*keys, "m.*")
+    return ordered.select(*keys, F.explode(F.aggregate("zones", start, step).moves).alias("m")).select(*keys, "m.*")
 
 
 def _rounds(centres: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge map of cars with many zones: repeated rounds over a grid, each spread over all tasks.
+    """Moves of cars with many zones: repeated rounds over a grid, each spread over all tasks.
 
     In a round an open zone is kept when no open zone before it lies in the nine cells around it; open zones in reach
     of an earlier kept zone are closed. Only the first open zone of a cell can be kept, so each round compares cells,
@@ -283,42 +274,43 @@ def _rounds(centres: DataFrame, keys: Sequence[str]) -> DataFrame:
         everything.join(reach, cell)
         .where((F.col("k") < F.col("z")) & _within("k", "z", F.col("threshold")))
         .groupBy(*keys, F.col("z.zoneid").alias("zoneid"))
-        .agg(
-            F.min("k").alias("k"),
-            F.first("z").alias("z"),
-        )
-        .select(
-            *keys,
-            "zoneid",
-            F.col("k.zoneid").alias("zoneid_new"),
-            geo.metres(
-                F.col("k.center_lat"), F.col("k.center_lon"), F.col("z.center_lat"), F.col("z.center_lon")
-            ).alias("cur_dis"),
-        )
+        .agg(F.min("k").alias("k"))
+        .select(*keys, "zoneid", F.col("k.zoneid").alias("zoneid_new"))
     )
 
 
-def zone_merge_map(zones: DataFrame, keys: Sequence[str] = CAR, fold_zones: int | None = None) -> DataFrame:
-    """Zones absorbed by an earlier one: ``zoneid -> zoneid_new`` with the metres between their centres.
+def _moves(centres: DataFrame, keys: Sequence[str], fold_zones: int | None = None) -> DataFrame:
+    """``zoneid -> zoneid_new`` of every zone absorbed by an earlier one, written once.
 
     In (lon, lat) order of the centres, a zone within reach of a kept earlier zone is absorbed by the first such zone;
     any other zone is kept.
     """
     limit = FOLD_ZONES if fold_zones is None else fold_zones
     keys = list(keys)
-    centres = _centres(zones, keys)
     many = centres.groupBy(*keys).count().where(F.col("count") > limit)
     if many.isEmpty():
-        return _fold(centres, keys)
+        return materialise(_fold(centres, keys), "merge-moves")
     marked = skew.salted_join(centres, many.select(*keys, F.lit(True).alias("_many")), keys)
     few = marked.where(F.col("_many").isNull()).drop("_many")
-    return _fold(few, keys).unionByName(_rounds(marked.where("_many").drop("_many"), keys))
+    return materialise(
+        _fold(few, keys).unionByName(_rounds(marked.where("_many").drop("_many"), keys)), "merge-moves"
+    )
+
+
+def zone_merge_map(zones: DataFrame, keys: Sequence[str] = CAR, fold_zones: int | None = None) -> DataFrame:
+    """Zones absorbed by an earlier one: ``zoneid -> zoneid_new`` with the metres between their centres."""
+    keys = list(keys)
+    centres = _centres(zones, keys)
+    out = _moves(centres, keys, fold_zones)
+    place = F.struct("center_lat", "center_lon")
+    for name, side in (("zoneid", "_z"), ("zoneid_new", "_k")):
+        out = out.join(centres.select(*keys, F.col("zoneid").alias(name), place.alias(side)), [*keys, name])
+    return out.select(*keys, "zoneid", "zoneid_new", _metres_between("_k", "_z").alias("cur_dis"))
 
 
 def zones_merged(zones: DataFrame, keys: Sequence[str] = CAR, fold_zones: int | None = None) -> DataFrame:
     """Apply the merge map and recentre; the zone before merging stays as ``zoneid_raw``."""
-    moves = zone_merge_map(zones, keys, fold_zones).select(*keys, "zoneid", "zoneid_new")
-    moved = skew.salted_join(zones, moves, [*keys, "zoneid"])
+    moved = skew.salted_join(zones, _moves(_centres(zones, keys), keys, fold_zones), [*keys, "zoneid"])
     renamed = moved.withColumn("zoneid_raw", F.col("zoneid")).withColumn(
         "zoneid", F.coalesce("zoneid_new", "zoneid")
     )

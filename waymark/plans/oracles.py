@@ -199,7 +199,7 @@ def neighbours(k: int, p: int, columns, name: str, train="train", queries="queri
 {name}_near as (select {keys}, r_key, zoneid, row_number() over (partition by {keys}, r_key order by {total}, p_id) rank
   from {name}_pairs qualify rank <= {k}),
 {name} as materialized (select {keys}, r_key, zoneid, count(*)/sum(count(*)) over (partition by {keys}, r_key) p
-  from {name}_near group by all)"""
+  from {name}_near group by {keys}, r_key, zoneid)"""
 
 
 MODELS = f"""
@@ -208,7 +208,7 @@ MODELS = f"""
 {neighbours(5, 2, KNN, 'k1')},
 {neighbours(1, 2, KNN, 'k2')},
 common as (select fold, out_id, end_zoneid zoneid, row_number() over (partition by fold, out_id order by count(*) desc, end_zoneid) c
-  from train group by all qualify c = 1),
+  from train group by fold, out_id, end_zoneid qualify c = 1),
 probs as materialized (
   select 'm0' model, * from k0 union all select 'm1', * from k1 union all select 'm2', * from k2 union all
   select 'm3', q.fold, q.out_id, q.r_key, c.zoneid, 1::double from queries q join common c using (fold, out_id))
@@ -542,7 +542,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["train_top_zones"] = query(
         TRIPS, ZONES, SNAP,
-        "tz as (select out_id, end_zoneid from snap group by all qualify row_number() over (partition by out_id order by count(*) desc, end_zoneid) <= 10)",
+        "tz as (select out_id, end_zoneid from snap group by out_id, end_zoneid qualify row_number() over (partition by out_id order by count(*) desc, end_zoneid) <= 10)",
         "select r_key, out_id, end_zoneid from snap join tz using (out_id, end_zoneid)",
     )
     q["tree_best_split"] = query(
