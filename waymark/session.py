@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,14 @@ def local_session(cores: int | str = "*", app: str = "waymark") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a folder of our own is used.
+    Only where the setting is absent and the session runs on one machine, as in tests, a folder of our own is used.
     """
     global _fallback_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="waymark-")
     return _fallback_dir
