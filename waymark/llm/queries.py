@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from waymark.llm import mixing
+from waymark.llm import bpe, mixing
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op5_bpe": bpe.op5_bpe,
 }
 
 ORACLES = {
