@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, mixing, neardup
+from waymark.llm import bpe, langid, mixing, neardup
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op5_bpe": bpe.op5_bpe,
+    "op6_language": langid.op6_language,
     "op9_near_duplicates": neardup.op9_near_duplicates,
 }
 
