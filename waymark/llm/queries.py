@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, langid, mixing, neardup
+from waymark.llm import bpe, langid, mixing, neardup, quality
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_language": langid.op6_language,
     "op9_near_duplicates": neardup.op9_near_duplicates,
