@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, langid, mixing, neardup, quality
+from waymark.llm import bpe, langid, mixing, neardup, quality, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_language": langid.op6_language,
     "op9_near_duplicates": neardup.op9_near_duplicates,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
