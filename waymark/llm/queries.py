@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, langid, mixing, neardup, quality, warc
+from waymark.llm import ann, bpe, hamming, langid, mixing, neardup, quality, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op3_hamming": hamming.op3_hamming,
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_language": langid.op6_language,
+    "op8_neighbours": ann.op8_neighbours,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
+    "op3_hamming": hamming.OP3_SQL,
 }
