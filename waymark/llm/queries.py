@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import ann, bpe, hamming, langid, mixing, neardup, quality, warc
+from waymark.llm import ann, bpe, hamming, langid, lines, mixing, neardup, quality, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_language": langid.op6_language,
+    "op7_lines": lines.op7_lines,
     "op8_neighbours": ann.op8_neighbours,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_warc": warc.op10_warc,
