@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from waymark.llm import ann, bpe, hamming, langid, lines, mixing, neardup, quality, warc
+from waymark.llm import ann, bpe, hamming, langid, lines, mixing, neardup, packing, quality, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_packing": packing.op2_packing,
     "op3_hamming": hamming.op3_hamming,
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
+    "op2_packing": packing.op2_packing,
     "op3_hamming": hamming.OP3_SQL,
 }
