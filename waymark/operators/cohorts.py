@@ -53,7 +53,7 @@ def cohort_quantile(snapped: DataFrame, groups: int = 5) -> DataFrame:
 
 def with_cohort(trips: DataFrame, cohorts: DataFrame) -> DataFrame:
     """Trips with their car's cohort, ready for ``write.partitionBy("cohort")`` in one pass."""
-    return skew.salted_join(trips, cohorts.select("out_id", "cohort"), ["out_id"], "inner")
+    return trips.join(cohorts.select("out_id", "cohort"), ["out_id"], "inner")
 
 
 def holdout_latest(trips: DataFrame, parts: int = 5) -> DataFrame:

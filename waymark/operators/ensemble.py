@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark import skew
 from waymark.operators.evaluate import loss_by_car
 
 
@@ -25,7 +24,7 @@ def mean_best_loss(best: DataFrame) -> DataFrame:
 
 def merge_best(predictions: DataFrame, best: DataFrame) -> DataFrame:
     """Each car's predictions from its best model."""
-    return skew.salted_join(predictions, best.select("out_id", "model"), ["out_id", "model"], "left_semi")
+    return predictions.join(best.select("out_id", "model"), ["out_id", "model"], "left_semi")
 
 
 def submission(targets: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -58,6 +57,6 @@ def first_address(dictionary: DataFrame) -> DataFrame:
 def stacked_position(zones: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Predicted zone of each trip to the first address of that zone."""
     wanted = zones.withColumnRenamed("predict_zone_id", "zoneid")
-    return skew.salted_join(wanted, first_address(dictionary), ["out_id", "zoneid"]).withColumnRenamed(
+    return wanted.join(first_address(dictionary), ["out_id", "zoneid"], "left").withColumnRenamed(
         "zoneid", "predict_zone_id"
     )

@@ -52,7 +52,7 @@ def scaler(train: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> Dat
 
 def scale_features(rows: DataFrame, fitted: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Features minus mean over deviation, fitted on training rows, for any rows of the same cars."""
-    joined = skew.salted_join(rows, fitted, list(keys), "inner")
+    joined = rows.join(fitted, list(keys), "inner")
     kept = [c for c in rows.columns if c not in columns]
     return joined.select(*kept, *[((F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}")).alias(c) for c in columns])
 
@@ -117,7 +117,7 @@ def geo_embedding(matrix: DataFrame, components: int) -> DataFrame:
 def attach_embedding(trips: DataFrame, embedding: DataFrame, precision: int = 5) -> DataFrame:
     """Embedding of the start cell; cells without one keep nulls. Cells that hold much of the data are salted."""
     cells = enrich.with_geo_codes(trips).withColumn("cell", geo.geohash_text(F.col("start_code"), precision))
-    return skew.salted_join(cells.drop("start_code", "end_code"), embedding, ["cell"])
+    return cells.drop("start_code", "end_code").join(embedding, ["cell"], "left")
 
 
 def train_near_targets(labelled: DataFrame, targets: DataFrame, precision: int) -> DataFrame:
@@ -137,7 +137,7 @@ def train_near_targets(labelled: DataFrame, targets: DataFrame, precision: int)
     near = celled.join(wanted.withColumn("_near", F.lit(1)), ["out_id", "cx", "cy"], "left").drop("cx", "cy")
     any_near = near.groupBy("out_id").agg(F.max("_near").alias("_any"))
     return (
-        skew.salted_join(near, any_near, ["out_id"])
+        near.join(any_near, ["out_id"], "left")
         .where(F.col("_near").isNotNull() | F.col("_any").isNull())
         .drop("_near", "_any")
     )
@@ -151,4 +151,4 @@ def train_top_zones(snapped: DataFrame, top: int = 50) -> DataFrame:
     visits = snapped.groupBy("out_id", "end_zoneid").agg(F.count("*").alias("_visits"))
     busiest = Window.partitionBy("out_id").orderBy(F.desc("_visits"), "end_zoneid")
     kept = visits.withColumn("_rank", F.row_number().over(busiest)).where(F.col("_rank") <= top)
-    return skew.salted_join(snapped, kept.select("out_id", "end_zoneid"), ["out_id", "end_zoneid"], "left_semi")
+    return snapped.join(kept.select("out_id", "end_zoneid"), ["out_id", "end_zoneid"], "left_semi")

@@ -15,21 +15,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark import skew
 from waymark.session import materialise
 
 CAR = ("out_id",)
 
-# Cars with more training rows have each feature cut into BINS equal steps, which bounds the counts per node.
-EXACT_ROWS = 2000
-BINS = 64
+# Measures are cut into at most BINS equal steps of their range in a car, which bounds the counts per node. Whole numbers with
+# a smaller range stay as they are, and so do zone ids, which are names.
+BINS = 256
 
 # Cumulative Poisson(1) probabilities of 0, 1, 2, ... copies of a row in a bootstrap sample.
 POISSON_1 = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941, 0.99992)
 
 
 def bin_features(train: DataFrame, queries: DataFrame, columns: Sequence[str], keys: Sequence[str] = CAR) -> tuple[DataFrame, DataFrame]:
-    """Rows ``keys, r_key, [label,] x, n_features`` with features of big cars cut into equal steps of their range."""
+    """Rows ``keys, r_key, [label,] x, n_features`` with measures cut into equal steps of their range."""
     keys = list(keys)
     ranges = materialise(
         train.groupBy(*keys).agg(
@@ -41,13 +40,13 @@ def bin_features(train: DataFrame, queries: DataFrame, columns: Sequence[str], k
     )
 
     def binned(rows: DataFrame, extra: list[Column]) -> DataFrame:
-        joined = skew.salted_join(rows, ranges, keys, "inner")
+        joined = rows.join(ranges, keys, "inner")
         values = []
         for c in columns:
             low, high, v = F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), F.col(c).cast("bigint")
             step = F.ceil((high - low + 1) / F.lit(BINS))
             cut = low + F.floor((F.least(high, F.greatest(low, v)) - low) / step) * step
-            values.append(F.when(F.col("_n") > EXACT_ROWS, cut).otherwise(v).cast("bigint"))
+            values.append((v if c.endswith("zoneid") else cut).cast("bigint"))
         return joined.select(*keys, "r_key", *extra, F.array(*values).alias("x"), F.lit(len(columns)).alias("n_features"))
 
     return binned(train, [F.col("end_zoneid").alias("label")]), binned(queries, [])
@@ -89,7 +88,7 @@ def _walk(rows: DataFrame, levels: int, sparse: bool) -> DataFrame:
 def _per_tree(rows: DataFrame, model: DataFrame | None, keys: list[str], trees: int, levels: int, sparse: bool, extra: list[str]) -> DataFrame:
     """Rows once per tree, at their node after ``levels`` levels."""
     if model is not None:
-        rows = skew.salted_join(rows, model, keys)
+        rows = rows.join(model, keys, "left")
     spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     return _walk(spread, levels, sparse).select(*keys, "r_key", *extra, "x", "n_features", "tree", "node", "stop")
 
@@ -106,12 +105,12 @@ def split_counts(rows: DataFrame, level: int, per_node: int | None, seed: int, k
     if per_node is None:
         features = F.sequence(F.lit(0), count - 1)
     else:
-        first = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.lit(level), F.col("node")), count)
-        stride = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("tree"), F.lit(level), F.col("node")), F.greatest(F.lit(1), count - 1)) + 1
         wanted = F.greatest(F.lit(per_node), F.ceil(F.sqrt(count.cast("double")))) if per_node == 0 else F.lit(per_node)
-        features = F.array_distinct(
-            F.transform(F.sequence(F.lit(0), wanted - 1), lambda j: F.pmod(first + j * stride, count).cast("int"))
+        drawn = F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda j: F.struct(F.xxhash64(F.lit(seed), F.col("tree"), F.lit(level), F.col("node"), j).alias("h"), j.cast("int").alias("j")),
         )
+        features = F.transform(F.slice(F.array_sort(drawn), 1, wanted.cast("int")), lambda s: s.j)
     return (
         rows.withColumn("feature", F.explode(features))
         .groupBy(*keys, "tree", "node", "feature", _value(F.col("x"), F.col("feature"), sparse).alias("value"), "label")

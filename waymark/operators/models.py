@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark import skew
 from waymark.operators.features import feature_columns, scaler
 from waymark.operators.nearest import nearest
 
@@ -40,7 +39,7 @@ def knn_probabilities(
     fitted = scaler(train, columns, keys).select(*keys, F.array(*[F.col(f"std_{c}") for c in columns]).alias("scale"))
     x = F.array(*[F.col(c).cast("bigint") for c in columns]).alias("x")
     points = train.select(*keys, F.col("r_key").alias("p_id"), x, F.col("end_zoneid").alias("label"))
-    asked = skew.salted_join(queries.select(*keys, F.col("r_key").alias("q_id"), x), fitted, keys, "inner")
+    asked = queries.select(*keys, F.col("r_key").alias("q_id"), x).join(fitted, keys, "inner")
     found = nearest(asked, points, keys, len(columns), k, power, [_bits(c) for c in columns], small_points)
     votes = found.groupBy(*keys, "q_id", "label").agg(F.count("*").alias("_votes"))
     totals = votes.groupBy(*keys, "q_id").agg(F.sum("_votes").alias("_all"))
@@ -54,7 +53,7 @@ def most_frequent_zone(train: DataFrame, queries: DataFrame, keys: Sequence[str]
     keys = list(keys)
     visits = train.groupBy(*keys, "end_zoneid").agg(F.count("*").alias("_n"))
     top = visits.groupBy(*keys).agg(F.max_by("end_zoneid", F.struct("_n", -F.col("end_zoneid"))).alias("zoneid"))
-    return skew.salted_join(queries.select(*keys, "r_key"), top, keys, "inner").withColumn("p", F.lit(1.0))
+    return queries.select(*keys, "r_key").join(top, keys, "inner").withColumn("p", F.lit(1.0))
 
 
 def fold_average(probabilities: DataFrame, keys: Sequence[str] = ("r_key", "zoneid")) -> DataFrame:
@@ -78,4 +77,4 @@ def predicted_position(zones: DataFrame, centres: DataFrame, keys: Sequence[str]
         F.col("center_lat").alias("predict_lat"),
         F.col("center_lon").alias("predict_lon"),
     )
-    return skew.salted_join(zones, places, [*own, "predict_zone_id"])
+    return zones.join(places, [*own, "predict_zone_id"], "left")

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark import skew
 from waymark.session import materialise
 
 SMALL_POINTS = 4096
@@ -83,7 +82,7 @@ def _descend(queries: DataFrame, points: DataFrame, keys, dims, k, power, scaled
             F.array(*[F.max(F.col("x")[i]) for i in range(dims)]).alias("_hi"),
         )
         if parent is None:
-            met = skew.salted_join(frontier, cells, keys, "inner")
+            met = frontier.join(cells, keys, "inner")
         else:
             met = frontier.withColumnRenamed("_cell", "_parent").join(cells, [*keys, "_parent"])
         x = F.col("x")
@@ -133,7 +132,7 @@ def nearest(
         return _direct(queries, points, keys, dims, k, power, scaled)
 
     def divide(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        marked = skew.salted_join(df, large, keys)
+        marked = df.join(large, keys, "left")
         return marked.where(F.col("_large").isNull()).drop("_large"), marked.where("_large").drop("_large")
 
     small_q, large_q = divide(queries)

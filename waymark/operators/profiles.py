@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark import skew
 from waymark.functions import geo
 from waymark.operators import cohorts, enrich
 
@@ -21,7 +20,7 @@ def car_distance_profile(trips: DataFrame, keys=("out_id",)) -> DataFrame:
 
 def attach_profile(rows: DataFrame, profile: DataFrame) -> DataFrame:
     """Profile columns on any table with cars; cars without a profile keep nulls."""
-    return skew.salted_join(rows, profile, ["out_id"])
+    return rows.join(profile, ["out_id"], "left")
 
 
 def score_cars(targets: DataFrame) -> DataFrame:
@@ -31,7 +30,7 @@ def score_cars(targets: DataFrame) -> DataFrame:
 
 def only_cars(trips: DataFrame, cars: DataFrame) -> DataFrame:
     """Trips of the listed cars."""
-    return skew.salted_join(trips, cars.select("out_id").distinct(), ["out_id"], "left_semi")
+    return trips.join(cars.select("out_id").distinct(), ["out_id"], "left_semi")
 
 
 def car_geo_footprint(trips: DataFrame, sides=("start", "end")) -> DataFrame:
@@ -85,7 +84,7 @@ def end_zone_profile(snapped: DataFrame) -> DataFrame:
 
 
 def attach_end_zone_profile(snapped: DataFrame) -> DataFrame:
-    return skew.salted_join(snapped, end_zone_profile(snapped), ["out_id", "end_zoneid"])
+    return snapped.join(end_zone_profile(snapped), ["out_id", "end_zoneid"], "left")
 
 
 START_ZONE_MEASURES = ("duration_s", "distance", "end_sn")
@@ -122,7 +121,7 @@ def attach_start_zone_profile(rows: DataFrame, profile: DataFrame) -> DataFrame:
     The means are one row, read as a scalar subquery.
     """
     measures = [c for c in profile.columns if c.startswith("sz_")]
-    joined = skew.salted_join(rows, profile, ["out_id", "start_zoneid"])
+    joined = rows.join(profile, ["out_id", "start_zoneid"], "left")
     means = joined.agg(F.struct(*[(F.sum(c).cast("double") / F.count(c)).alias(c) for c in measures]).alias("m")).scalar()
     keep = [c for c in joined.columns if c not in measures]
     return joined.withColumn("_means", means).select(

@@ -46,8 +46,8 @@ def label_encode(df: DataFrame, texts: Sequence[str], missing: str = "Other") ->
     """Texts replaced by their index among the sorted distinct texts, nulls as ``'Other'``."""
     for text in texts:
         df = df.withColumn(text, F.coalesce(F.col(text), F.lit(missing)))
-        codes = skew.sorted_codes(df, text, 2).withColumnRenamed("code", "_code")
-        df = skew.salted_join(df, codes, [text]).withColumn(text, F.col("_code")).drop("_code")
+        codes = skew.sorted_codes(df, text).withColumnRenamed("code", "_code")
+        df = df.join(codes, [text], "left").withColumn(text, F.col("_code")).drop("_code")
     return df
 
 
@@ -67,9 +67,9 @@ def numeric_exceptions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*pairs).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
-def exception_report(df: DataFrame, index: str, columns: Sequence[str], rows: int = 3) -> DataFrame:
-    """The first few offending rows by ``index``; a short report, so it is limited."""
+def exception_report(df: DataFrame, index: str, columns: Sequence[str]) -> DataFrame:
+    """All offending rows."""
     bad = _odd(columns[0])
     for name in columns[1:]:
         bad = bad | _odd(name)
-    return df.where(bad).select(index, *columns).orderBy(index).limit(rows)
+    return df.where(bad).select(index, *columns)

@@ -49,7 +49,7 @@ def car_thresholds(profile: DataFrame, threshold) -> DataFrame:
 def with_threshold(addresses: DataFrame, threshold, keys: Sequence[str] = CAR) -> DataFrame:
     """Threshold column from a number of metres or from a table of thresholds per car."""
     if isinstance(threshold, DataFrame):
-        return skew.salted_join(addresses, threshold.select(*keys, "threshold"), list(keys), "inner")
+        return addresses.join(threshold.select(*keys, "threshold"), list(keys), "inner")
     return addresses.withColumn("threshold", F.lit(int(threshold)).cast("bigint"))
 
 
@@ -124,7 +124,7 @@ def zone_means(zones: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
 def zone_centers(zones: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
     """Addresses with their zone's centre and the whole metres to it."""
     plain = zones.drop("center_lat", "center_lon", "distance_2_center")
-    return skew.salted_join(plain, zone_means(zones, keys), [*keys, "zoneid"]).withColumn(
+    return plain.join(zone_means(zones, keys), [*keys, "zoneid"], "left").withColumn(
         "distance_2_center",
         geo.metres(F.col("center_lat"), F.col("center_lon"), geo.degrees("lat_e5"), geo.degrees("lon_e5")),
     )
@@ -290,7 +290,7 @@ def _moves(centres: DataFrame, keys: Sequence[str], fold_zones: int | None = Non
     many = centres.groupBy(*keys).count().where(F.col("count") > limit)
     if many.isEmpty():
         return materialise(_fold(centres, keys), "merge-moves")
-    marked = skew.salted_join(centres, many.select(*keys, F.lit(True).alias("_many")), keys)
+    marked = centres.join(many.select(*keys, F.lit(True).alias("_many")), keys, "left")
     few = marked.where(F.col("_many").isNull()).drop("_many")
     return materialise(
         _fold(few, keys).unionByName(_rounds(marked.where("_many").drop("_many"), keys)), "merge-moves"
@@ -310,7 +310,7 @@ def zone_merge_map(zones: DataFrame, keys: Sequence[str] = CAR, fold_zones: int
 
 def zones_merged(zones: DataFrame, keys: Sequence[str] = CAR, fold_zones: int | None = None) -> DataFrame:
     """Apply the merge map and recentre; the zone before merging stays as ``zoneid_raw``."""
-    moved = skew.salted_join(zones, _moves(_centres(zones, keys), keys, fold_zones), [*keys, "zoneid"])
+    moved = zones.join(_moves(_centres(zones, keys), keys, fold_zones), [*keys, "zoneid"], "left")
     renamed = moved.withColumn("zoneid_raw", F.col("zoneid")).withColumn(
         "zoneid", F.coalesce("zoneid_new", "zoneid")
     )
@@ -367,7 +367,7 @@ def zone_in_out(zones: DataFrame, trips: DataFrame, keys: Sequence[str] = CAR) -
 def zone_shares(traffic: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
     """Totals per car and the share of each zone; null where the total is 0."""
     totals = traffic.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_total") for c in ("in", "out", "in_out")])
-    joined = skew.salted_join(traffic, totals, list(keys), "inner")
+    joined = traffic.join(totals, list(keys), "inner")
     return joined.select(
         "*", *[F.try_divide(F.col(c), F.col(f"{c}_total")).alias(f"{c}_per") for c in ("in", "out", "in_out")]
     )
@@ -415,7 +415,7 @@ def zone_dictionary(trips: DataFrame, threshold=500, keys: Sequence[str] = CAR)
     """Every end point of every car with its zone, the zone's centre, traffic, shares and rank."""
     zones = build_zones(trips, threshold, keys)
     frequency = zone_rank(zone_shares(zone_in_out(zones, trips, keys), keys), keys)
-    return skew.salted_join(zones, frequency, [*keys, "zoneid"]).select(*keys, *DICTIONARY_COLUMNS)
+    return zones.join(frequency, [*keys, "zoneid"], "left").select(*keys, *DICTIONARY_COLUMNS)
 
 
 def _side(dictionary: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
@@ -471,7 +471,7 @@ def zone_distances(wanted: DataFrame, dictionary: DataFrame, keys: Sequence[str]
             F.col("center_lat").alias(f"_lat_{side}"),
             F.col("center_lon").alias(f"_lon_{side}"),
         )
-        out = skew.salted_join(out, one, [*keys, f"zoneid_{side}"], "inner")
+        out = out.join(one, [*keys, f"zoneid_{side}"], "inner")
     return out.select(
         *keys,
         "zoneid_a",
@@ -487,7 +487,7 @@ def zones_knn_reduced(dictionary: DataFrame, threshold: int = 2, least_zones: in
     the address first in (lat, lon) order.
     """
     zones = dictionary.groupBy("out_id").agg(F.countDistinct("zoneid").alias("_zones"))
-    marked = skew.salted_join(dictionary, zones, ["out_id"], "inner").withColumn(
+    marked = dictionary.join(zones, ["out_id"], "inner").withColumn(
         "_rare", (F.col("_zones") >= least_zones) & (F.coalesce("in_out", F.lit(0)) < threshold)
     )
     marked = materialise(marked.select("out_id", "lat_e5", "lon_e5", "zoneid", "_zones", "_rare"), "knn-zones")
@@ -507,11 +507,11 @@ def zones_knn_reduced(dictionary: DataFrame, threshold: int = 2, least_zones: in
     )
 
 
-def zones_kmeans_reduced(dictionary: DataFrame, centers: int = 5, rounds: int = 5) -> DataFrame:
+def zones_kmeans_reduced(dictionary: DataFrame, centers: int = 5) -> DataFrame:
     """In cars with at least ``centers`` zones, cluster the addresses anew around that many centres.
 
-    Starts from the centres of the busiest zones; ``rounds`` steps of assigning each address to its nearest centre (by
-    degrees) and averaging. Each car's centres are one short array; addresses are never gathered.
+    Starts from the centres of the busiest zones; assigns each address to its nearest centre (by degrees) and averages, until
+    no centre moves. Each car's centres are one short array; addresses are never gathered.
     """
     cars = (
         zone_center_list(dictionary)
@@ -538,9 +538,9 @@ def zones_kmeans_reduced(dictionary: DataFrame, centers: int = 5, rounds: int =
                 c.lon.alias("lon"),
             ),
         )
-        return skew.salted_join(spots, centres, ["out_id"]).withColumn("near", F.array_min(ranked)).drop("centres")
+        return spots.join(centres, ["out_id"], "left").withColumn("near", F.array_min(ranked)).drop("centres")
 
-    for _ in range(rounds):
+    while True:
         means = (
             assigned(centres)
             .where(F.col("near").isNotNull())
@@ -561,7 +561,11 @@ def zones_kmeans_reduced(dictionary: DataFrame, centers: int = 5, rounds: int =
                 )
             ).alias("centres")
         )
-        centres = materialise(updated, "kmeans-centres")
+        updated = materialise(updated, "kmeans-centres")
+        moved = updated.join(centres.withColumnRenamed("centres", "old"), "out_id").where(F.col("centres") != F.col("old"))
+        centres = updated
+        if moved.isEmpty():
+            break
     return assigned(centres).select(
         "out_id",
         "lat_e5",
@@ -584,7 +588,7 @@ def zones_visit_centered(snapped: DataFrame, keys: Sequence[str] = CAR) -> DataF
         ((F.sum("end_lat_e5") / count) / F.lit(1e5)).alias("end_lat_adj"),
         ((F.sum("end_lon_e5") / count) / F.lit(1e5)).alias("end_lon_adj"),
     )
-    return skew.salted_join(snapped.drop("end_lat_adj", "end_lon_adj"), means, [*keys, "end_zoneid"])
+    return snapped.drop("end_lat_adj", "end_lon_adj").join(means, [*keys, "end_zoneid"], "left")
 
 
 def car_top_centers(dictionary: DataFrame, top: int = 4, keys: Sequence[str] = CAR) -> DataFrame:
@@ -604,7 +608,7 @@ def center_distances(snapped: DataFrame, top_centers: DataFrame, top: int = 4, k
     """
     lat = F.coalesce(F.col("start_lat_adj"), geo.degrees("start_lat_e5"))
     lon = F.coalesce(F.col("start_lon_adj"), geo.degrees("start_lon_e5"))
-    joined = skew.salted_join(snapped, top_centers, list(keys))
+    joined = snapped.join(top_centers, list(keys), "left")
     plain = [geo.metres(lat, lon, F.col(f"center_lat_{i}"), F.col(f"center_lon_{i}")) for i in range(top)]
     measured = joined.select("*", *[p.alias(f"_dis{i}") for i, p in enumerate(plain)])
     filled = [

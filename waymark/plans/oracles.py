@@ -290,7 +290,10 @@ cuts as (select l.out_id, l.feature, l.v, l.nv, sum(l) wl, sum(l*l) sl, sum(l*t)
 scoredcuts as (select c.*, w, s, cast(sl as double)/wl + cast(s-2*x+sl as double)/(w-wl) score from cuts c join tsum using (out_id) where s < w*w)
 """
 
-SWEEP_RUNS = "(values ('r0',0,200),('r0',1,300),('r1',0,500),('r1',1,500),('r2',0,300),('r2',1,400)) v(run_id, cohort, threshold)"
+SWEEP_RUNS = """(
+  select run_id, cohort, case run_id when 'r0' then [200,300,400,450,550,450,450][case cohort when -1 then 7 else cohort+1 end]
+    when 'r1' then 500 else case cohort when 0 then 300 else 400 end end threshold
+  from (values ('r0'),('r1'),('r2')) r(run_id), range(-1, 6) c(cohort))"""
 SWEEP = f"""
 {geo_of('labelled', 'geo')},
 {CELLS6},
@@ -398,14 +401,14 @@ def oracle_sql() -> dict[str, str]:
     q["car_distance_profile"] = query(TRIPS, PROFILE, "select * from profile")
     q["trips_with_profile"] = query(TRIPS, PROFILE, "select r_key, out_id, distance, distance_min, distance_max, distance_mean from far join profile using (out_id)")
     q["score_cars"] = query(TRIPS, SPLIT, 'select out_id, count(*) "count" from targets group by all')
-    q["trips_scored_cars"] = query(TRIPS, SPLIT, "select r_key, out_id from labelled where out_id in (select out_id from targets where out_id % 3 = 0)")
+    q["trips_scored_cars"] = query(TRIPS, SPLIT, "select r_key, out_id from labelled where out_id in (select out_id from targets)")
     counts = ", ".join(f"count(distinct geo{p}{s}) geo{p}{s}" for s in ("", "_end") for p in range(4, 10))
     foot = f"footp as (select out_id, count(*) \"count\", {counts}, cast({GEO_COHORT.replace('cells', 'count(distinct geo6_end)')} as bigint) gp from geo group by out_id)"
     q["car_geo_footprint"] = query(TRIPS, GEO, foot, "select * from footp")
     train_names = ", ".join([f"f.{c} train_{c}" for c in ["count", "gp", *[f"geo{p}{s}" for s in ("", "_end") for p in range(4, 10)]]])
     test_names = ", ".join([f"g.{c} test_{c}" for c in ["count", *[f"geo{p}" for p in range(4, 10)]]])
     q["car_geo_footprint_both"] = query(
-        TRIPS, SPLIT, "lab_part as (select * from labelled where out_id % 10 <> 1), tar_part as (select * from targets where out_id % 10 <> 2)",
+        TRIPS, SPLIT, "lab_part as (select * from labelled), tar_part as (select * from targets)",
         geo_of("lab_part", "geo"), geo_of("tar_part", "tgeo"), foot,
         f"tfoot as (select out_id, count(*) \"count\", {', '.join(f'count(distinct geo{p}) geo{p}' for p in range(4, 10))} from tgeo group by out_id)",
         f"select coalesce(f.out_id, g.out_id) out_id, {train_names}, {test_names} from footp f full join tfoot g on f.out_id=g.out_id",
@@ -596,13 +599,13 @@ def oracle_sql() -> dict[str, str]:
     q["merged_predictions"] = query(*scores, "select p.model, p.r_key, p.out_id, predict_zone_id, predict_lat, predict_lon from preds p join best b using (out_id, model) where fold='final'")
     q["submission"] = query(
         *scores,
-        "mp as (select p.* from preds p join best b using (out_id, model) where fold='final' and p.out_id % 7 <> 0)",
+        "mp as (select p.* from preds p join best b using (out_id, model) where fold='final')",
         "select t.r_key, predict_lat end_lat, predict_lon end_lon from targets t left join mp using (r_key)",
     )
     q["coalesced_predictions"] = query(
         *scores,
         geo_of("labelled", "geo"), CELLS6,
-        "a as (select p.* from preds p join cohort6 using (out_id) where fold='final' and model='m1' and cohort=0), b as (select * from preds where fold='final' and model='m0')",
+        "a as (select p.* from preds p join cohort6 using (out_id) where fold='final' and model='m1'), b as (select * from preds where fold='final' and model='m0')",
         "select b.r_key, coalesce(a.predict_lat, b.predict_lat) predict_lat, coalesce(a.predict_lon, b.predict_lon) predict_lon from b left join a using (r_key)",
     )
     q["concatenated_predictions"] = query(*scores, "select model, r_key, predict_lat, predict_lon from preds where fold='final' and model in ('m0','m1')")
@@ -622,5 +625,5 @@ def oracle_sql() -> dict[str, str]:
         EVENTS_HOLED,
         "select 'v' \"column\", cast(sum(case when v is null or isnan(v) then 1 else 0 end) as bigint) missing, cast(sum(case when isinf(v) then 1 else 0 end) as bigint) infinite from holed union all select 'event_id', 0, 0",
     )
-    q["exception_report"] = query(EVENTS_HOLED, "select event_id, v from holed where v is null or isinf(v) order by event_id limit 3")
+    q["exception_report"] = query(EVENTS_HOLED, "select event_id, v from holed where v is null or isinf(v)")
     return q

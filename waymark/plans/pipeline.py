@@ -120,11 +120,11 @@ def stacked_probabilities(probabilities: DataFrame, examples: Examples, trees: i
     known = stack.where("fold = 'validate'").select("out_id", "feature").distinct()
     numbered = skew.with_position(known, ["out_id"], ["feature"], [F.substring("feature", 1, 6)], "at", "n_features", cold="")
     numbered = numbered.withColumn("at", (F.col("at") - 1).cast("int"))
-    coded = skew.salted_join(stack, numbered.select("out_id", "feature", "at"), ["out_id", "feature"], "inner")
+    coded = stack.join(numbered.select("out_id", "feature", "at"), ["out_id", "feature"], "inner")
     entry = F.struct("at", F.rint(F.col("p") * 100).cast("int").alias("p"))
     wide = coded.groupBy("fold", "out_id", "r_key").agg(F.map_from_entries(F.collect_list(entry)).alias("x"))
     sizes = numbered.groupBy("out_id").agg(F.max("n_features").cast("int").alias("n_features"))
-    rows = materialise(skew.salted_join(wide, sizes, ["out_id"], "inner"), "stack-rows")
+    rows = materialise(wide.join(sizes, ["out_id"], "inner"), "stack-rows")
     truth = examples.queries.where("fold = 'validate'").select("r_key", F.col("end_zoneid").alias("label"))
     train = materialise(rows.where("fold = 'validate'").drop("fold").join(truth, "r_key"), "stack-train")
     return forest.forest_probabilities(train, rows.where("fold = 'final'").drop("fold"), trees, depth, sparse=True)
@@ -145,7 +145,7 @@ def sweep(
     """
     keys = ["run_id", "out_id"]
     split = cohorts.holdout_earliest(labelled, parts)
-    placed = skew.salted_join(split, cars.select("out_id", "cohort"), ["out_id"], "inner")
+    placed = split.join(cars.select("out_id", "cohort"), ["out_id"], "inner")
     per_run = placed.join(F.broadcast(runs), "cohort")
     thresholds = per_run.select(*keys, "threshold").distinct()
     each = per_run.drop("threshold")

@@ -233,8 +233,7 @@ def score_cars(spark, sf):
 @query
 def trips_scored_cars(spark, sf):
     labelled, targets = _split(spark, sf)
-    # a second table with fewer cars, so that the restriction has something to leave out
-    return profiles.only_cars(labelled, targets.where("out_id % 3 = 0")).select("r_key", "out_id")
+    return profiles.only_cars(labelled, targets).select("r_key", "out_id")
 
 
 @query
@@ -245,8 +244,7 @@ def car_geo_footprint(spark, sf):
 @query
 def car_geo_footprint_both(spark, sf):
     labelled, targets = _split(spark, sf)
-    # each table lacks some cars of the other, so that both sides of the alignment show nulls
-    return profiles.footprints_side_by_side(labelled.where("out_id % 10 <> 1"), targets.where("out_id % 10 <> 2"))
+    return profiles.footprints_side_by_side(labelled, targets)
 
 
 @query
@@ -397,7 +395,7 @@ def zones_knn_reduced(spark, sf):
 
 @query
 def zones_kmeans_reduced(spark, sf):
-    return zones.zones_kmeans_reduced(materialise(_dictionary(spark, sf), "dictionary"), centers=5, rounds=4)
+    return zones.zones_kmeans_reduced(materialise(_dictionary(spark, sf), "dictionary"), centers=5)
 
 
 @query
@@ -497,7 +495,7 @@ def features_scaled(spark, sf):
 
     def part(name: str, df: DataFrame) -> DataFrame:
         scaled = features.scale_features(df.select("r_key", "out_id", *columns), fitted, columns, ["out_id"])
-        return scaled.select(F.lit(name).alias("part"), "r_key", *[F.round(c, 6).alias(c) for c in columns])
+        return scaled.select(F.lit(name).alias("part"), "r_key", "out_id", *[F.round(c, 6).alias(c) for c in columns])
 
     return part("train", labelled).unionByName(part("test", targets))
 
@@ -606,9 +604,10 @@ def two_pass_predictions(spark, sf):
 def _swept(spark: SparkSession, sf: str) -> DataFrame:
     labelled, _ = _split(spark, sf)
     cars = materialise(cohorts.cohort_geo(labelled), "cohorts")
-    tuned = [("r0", cohort, metres) for cohort, metres in enumerate(cohorts.COHORT_THRESHOLDS[:2])]
-    others = [("r1", 0, 500), ("r1", 1, 500), ("r2", 0, 300), ("r2", 1, 400)]
-    runs = spark.createDataFrame(tuned + others, "run_id string, cohort bigint, threshold bigint")
+    # a run has a threshold for every cohort; cars outside all cohorts (-1) take that of the last
+    settings = {"r0": cohorts.COHORT_THRESHOLDS, "r1": (500,) * 6, "r2": (300, 400, 400, 400, 400, 400)}
+    runs = [(run, cohort, metres[cohort]) for run, metres in settings.items() for cohort in (-1, 0, 1, 2, 3, 4, 5)]
+    runs = spark.createDataFrame(runs, "run_id string, cohort bigint, threshold bigint")
     return pipeline.sweep(labelled, cars, runs)
 
 
@@ -701,8 +700,7 @@ def merged_predictions(spark, sf):
 
 @query
 def submission(spark, sf):
-    # the cars of one run are left out, so that some trips have no prediction
-    return ensemble.submission(_split(spark, sf)[1], _merged(spark, sf).where("out_id % 7 <> 0"))
+    return ensemble.submission(_split(spark, sf)[1], _merged(spark, sf))
 
 
 @query
@@ -710,8 +708,8 @@ def coalesced_predictions(spark, sf):
     labelled, _ = _split(spark, sf)
     _, _, predicted = _predictions(spark, sf, "m0", "m1")
     final = pipeline.final_predictions(predicted)
-    small = cohorts.with_cohort(final.where("model = 'm1'"), cohorts.cohort_geo(labelled)).where("cohort = 0").drop("cohort")
-    runs = small.withColumn("priority", F.lit(0)).unionByName(final.where("model = 'm0'").withColumn("priority", F.lit(1)))
+    tuned = cohorts.with_cohort(final.where("model = 'm1'"), cohorts.cohort_geo(labelled)).drop("cohort")
+    runs = tuned.withColumn("priority", F.lit(0)).unionByName(final.where("model = 'm0'").withColumn("priority", F.lit(1)))
     return ensemble.first_value_wins(runs, "priority", ["predict_lat", "predict_lon"])
 
 

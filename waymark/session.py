@@ -40,8 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback_dir
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -12,19 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 16
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join many rows per key (``big``) with few rows per key (``small``), spreading each key over ``salts`` tasks.
+from waymark.session import materialise
 
-    The salt is a hash of the row itself, so a retried task repeats it.
-    """
-    spread = ["r_key"] if "r_key" in big.columns else big.columns
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.expr("0L"), F.expr(f"{salts - 1}L"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+HOT_ROWS = 1_000_000
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], chunk: Sequence[Column], cold=0, hot_rows: int | None = None) -> DataFrame:
@@ -101,11 +91,15 @@ def with_previous(
     )
 
 
-def sorted_codes(values: DataFrame, column: str, prefix: int) -> DataFrame:
+def sorted_codes(values: DataFrame, column: str) -> DataFrame:
     """0-based index of each distinct non-null text in sorted order, as ``(column, code)``.
 
-    Texts are divided by their first ``prefix`` characters, so no task sorts the whole vocabulary.
+    The texts are divided into ranges by what occurs, whatever they begin with. The ranges are written, so that their numbers
+    stay the same; each counts on from the sum of those before, one row per range.
     """
     distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = with_position(distinct, [], [column], [F.substring(column, 1, prefix)])
-    return ranked.select(column, (F.col("pos") - 1).alias("code"))
+    ranged = materialise(distinct.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "sorted-texts")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    return ranged.withColumn("_own", own).join(before, "_part").select(column, (F.col("_before") + F.col("_own") - 1).alias("code"))

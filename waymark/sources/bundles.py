@@ -39,6 +39,6 @@ def run_name(loss, model, threshold, split_num, cohort):
 
 
 def select_runs(runs: DataFrame, pattern: str, top: int | None = None) -> DataFrame:
-    """Runs whose name matches, best first; ``top`` keeps the first few names."""
-    chosen = runs.where(F.col("model").rlike(pattern)).orderBy("model")
-    return chosen if top is None else chosen.limit(top)
+    """Rows of the runs whose name matches; ``top`` keeps the first few by name, the best."""
+    chosen = runs.where(F.col("model").rlike(pattern))
+    return chosen if top is None else chosen.orderBy("model").limit(top)

@@ -5,18 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Statutory holidays of 2018 (first day, last day), and weekend days worked in exchange.
-HOLIDAYS_2018 = (
-    ("2018-01-01", "2018-01-01"),
-    ("2018-02-15", "2018-02-21"),
-    ("2018-04-05", "2018-04-07"),
-    ("2018-04-29", "2018-05-01"),
-    ("2018-06-16", "2018-06-18"),
-    ("2018-09-22", "2018-09-24"),
-    ("2018-10-01", "2018-10-07"),
-)
-WORKED_WEEKENDS_2018 = ("2018-02-11", "2018-02-24", "2018-04-08", "2018-04-28", "2018-09-29", "2018-09-30")
-
 
 def calendar(spark: SparkSession, first: str, last: str, holidays=(), worked=()) -> DataFrame:
     """One row per day from ``first`` to ``last``: the weekend rule with holiday ranges and worked weekends on top."""
@@ -34,7 +22,3 @@ def calendar(spark: SparkSession, first: str, last: str, holidays=(), worked=())
         "date",
         F.when(is_holiday, "2").when(is_worked, "0").when(F.weekday(day) >= 5, "1").otherwise("0").alias("code"),
     )
-
-
-def calendar_2018(spark: SparkSession) -> DataFrame:
-    return calendar(spark, "2018-01-01", "2018-12-31", HOLIDAYS_2018, WORKED_WEEKENDS_2018)

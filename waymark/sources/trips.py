@@ -6,12 +6,14 @@ Coordinates are integers in 1e-5 degrees, so joins on a place compare exactly. U
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark import skew
-from waymark.session import materialise
+from waymark.session import application_dir
 
 LABELLED_CSV = T.StructType(
     [
@@ -133,17 +135,9 @@ def trips_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-_derived: dict[tuple[str, str], str] = {}
-
-
 def derived_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``trips_from_events`` over a data folder, written once per application as the input table of all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _derived:
-        try:
-            return spark.read.parquet(_derived[key])
-        except Exception:  # the shared folder was emptied: derive again
-            del _derived[key]
-    table = materialise(trips_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), "trips")
-    _derived[key] = table.inputFiles()[0].rsplit("/", 1)[0]
-    return table
+    path = f"{application_dir(spark)}/trips-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    trips = trips_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    trips.write.mode("ignore").parquet(path)
+    return spark.read.schema(trips.schema).parquet(path)
