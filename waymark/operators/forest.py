@@ -21,7 +21,7 @@ CAR = ("out_id",)
 
 # Measures are cut into at most BINS equal steps of their range in a car, which bounds the counts per node. Whole numbers with
 # a smaller range stay as they are, and so do zone ids, which are names.
-BINS = 256
+BINS = 4096
 
 # Cumulative Poisson(1) probabilities of 0, 1, 2, ... copies of a row in a bootstrap sample.
 POISSON_1 = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941, 0.99992)

@@ -281,11 +281,14 @@ TREE = f"""
 tr as materialized (select out_id, {calendar_columns()}, coalesce(start_zoneid, 0) start_zoneid, end_zoneid label from snap),
 tv as materialized ({' union all '.join(f"select out_id, {i} feature, {c} v, label from tr" for c, i in _tree_features.items())}),
 vals as materialized (select distinct out_id, feature, v from tv),
-cutv as (select *, lead(v) over (partition by out_id, feature order by v) nv from vals),
-tot as (select out_id, label, count(*) t from tr group by all),
+cutv as materialized (select *, lead(v) over (partition by out_id, feature order by v) nv from vals),
+tot as materialized (select out_id, label, count(*) t from tr group by all),
 tsum as (select out_id, sum(t) w, sum(t*t) s from tot group by all),
-lefts as (select c.out_id, c.feature, c.v, c.nv, t.label, count(*) l from cutv c join tv t using (out_id, feature)
-  where c.nv is not null and t.v <= c.v group by all),
+tcount as materialized (select out_id, feature, v, label, count(*) c from tv group by all),
+grid as materialized (select c.out_id, c.feature, c.v, c.nv, t.label from cutv c join tot t using (out_id)),
+running as materialized (select g.*, cast(sum(coalesce(c, 0)) over (partition by g.out_id, g.feature, g.label order by g.v) as bigint) l
+  from grid g left join tcount using (out_id, feature, v, label)),
+lefts as (select * from running where nv is not null and l > 0),
 cuts as (select l.out_id, l.feature, l.v, l.nv, sum(l) wl, sum(l*l) sl, sum(l*t) x from lefts l join tot using (out_id, label) group by all),
 scoredcuts as (select c.*, w, s, cast(sl as double)/wl + cast(s-2*x+sl as double)/(w-wl) score from cuts c join tsum using (out_id) where s < w*w)
 """
