@@ -72,6 +72,24 @@ def test_chain_of_near_copies(spark):
     assert as_dict(neardup.near_duplicates(docs)) == brute(rows)
 
 
+def test_group_of_edited_copies(spark):
+    """Copies with one to eight words changed: some linked, some not, many candidates; and a doc_id with two texts."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for j in rng.integers(0, 150, int(rng.integers(1, 9))):
+            words[j] = f"x{rng.integers(10**9)}"
+        rows.append((i * 3 % 1000 + i, " ".join(words)))
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) > 50 and as_dict(neardup.near_duplicates(docs)) == want
+    again = neardup.near_duplicates(docs.union(spark.createDataFrame([(rows[0][0], "another text")], docs.schema))).collect()
+    assert {r.doc_id: r.component_id for r in again} == {d: c for d, (_, c) in want.items()}
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)

@@ -9,44 +9,38 @@ from waymark.session import materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of ``edges`` (a, b): root is the smallest node of its component.
+    """``(node, root)`` for every node of ``edges`` (a, b) of longs: root is the smallest node of its component.
 
-    In a round every node hooks to its smallest neighbour if that is smaller, chains of hooks are halved until all point
-    to their ends, and the edges are rewritten to the ends, so the graph shrinks by at least the hooked nodes.
-    All steps are joins and grouped minima; rows per node are combined before each shuffle, and each round's
-    tables are written to the shared folder, so a lost executor costs one step.
+    In a round every node hooks to the neighbour of smallest hash, if that is smaller than its own, and to where that
+    one hooks; the edges are rewritten to these roots. Hashes keep chains of hooks short whatever the order of ids, so a
+    graph shrinks severalfold in a round. All steps are joins and grouped minima; rows of a node are combined
+    before each shuffle, and each round's tables are written to the shared folder, so a lost executor costs one step.
     """
-    live = materialise(_both_ways(edges.select("a", "b")), "edges")
-    found: DataFrame | None = None
-    while not live.isEmpty():
-        hooks = live.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-        roots = _ends(materialise(hooks, "hooks"))
-        if found is None:
-            found = roots
-        else:
-            to = roots.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-            found = materialise(found.join(to, "root", "left").select("node", F.coalesce("_next", "root").alias("root")), "roots")
-        ends = roots.select(F.col("node").alias("a"), F.col("root").alias("_a"))
-        other = roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
-        moved = live.join(ends, "a").join(other, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        live = materialise(moved.where(F.col("a") != F.col("b")).distinct(), "edges")
-    if found is None:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    return found
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    apart = edges.where(F.col("a") != F.col("b"))
-    return apart.union(apart.select("b", "a")).distinct()
-
-
-def _ends(hooks: DataFrame) -> DataFrame:
-    """Follow hooks (each to a smaller node) to their ends, twice as far in every pass."""
+    moved = edges.select(_rank("a"), _rank("b"))
+    rounds: list[DataFrame] = []
     while True:
-        to = hooks.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        further = materialise(
-            hooks.join(to, "root").select("node", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")), "hooks"
-        )
-        hooks = further.select("node", "root")
-        if further.where("_moved").isEmpty():
-            return hooks
+        apart = moved.where("a != b")
+        live = materialise(apart.union(apart.select("b", "a")).distinct(), "edges")
+        if live.isEmpty():
+            break
+        hooks = materialise(live.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "hooks")
+        further = hooks.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        rounds.append(materialise(hooks.join(further, "root").select("node", F.col("end").alias("root")), "roots"))
+        a = rounds[-1].select(F.col("node").alias("a"), F.col("root").alias("_a"))
+        b = rounds[-1].select(F.col("node").alias("b"), F.col("root").alias("_b"))
+        moved = live.where("a < b").join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    found = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        to = found.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        found = earlier.join(to, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
+    nodes = edges.select("a").union(edges.select("b")).distinct().where(F.col("a").isNotNull()).select("a", F.xxhash64("a").alias("node"))
+    named = materialise(nodes.join(found, "node").select(F.col("a").alias("node"), "root"), "components")
+    least = named.groupBy("root").agg(F.min("node").alias("least"))
+    return materialise(named.join(least, "root").select("node", F.col("least").alias("root")), "components")
+
+
+def _rank(column: str):
+    """A fixed shuffle of the ids; distinct ids keep distinct hashes, as the hash permutes 64-bit values."""
+    return F.xxhash64(column).alias(column)

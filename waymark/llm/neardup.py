@@ -5,10 +5,10 @@ buckets; a bucket keeps its smallest hash, compressed to a register of leading z
 that follow (10 bits). Runs of five registers form bands. Documents that agree in a band are candidates; an estimate of the Jaccard
 index from the registers, corrected for chance agreement, drops the hopeless ones; the rest are confirmed on full sets.
 
-Copies of one set share one representative before anything is compared. Candidates come in three steps, each leaving
-out pairs whose ends are already connected by confirmed links, so a group of thousands of near copies is not expanded into
-its pairs: the likeliest partner of each document among its bands' smallest and largest ids; all those partners; then
-any pair of a band that still mixes components.
+Copies of one set share one representative before anything is compared. Candidates come in two steps, so that a group of
+thousands of near copies is not expanded into its pairs: each document with the smallest id of each of its bands; then, of bands
+whose members confirmed links do not yet connect, the pairs across components, compared inside the join so that only links
+come out of it; documents too many of whose shingles occur in no other such document stay out.
 
 Defined results: a null, empty or blank text has an empty set and no links; fewer than five words make one shingle; equal
 texts are linked; each row is a document of its own, and rows with one doc_id count as one node when links are followed; a
@@ -211,71 +211,112 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
 def _links(reps: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """Confirmed links that connect every component of the representatives."""
     threshold = num / den
-    slim = reps.select("doc_id", "n", "registers")
+    slim = reps.select("doc_id", "registers")
     entries = reps.select(F.explode("bands").alias("band"), "doc_id", "n", "fold_1", "fold_2")
     entries = materialise(_shared(entries), "bands")
-    left = slim.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
-    right = slim.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
+    left = slim.select(F.col("doc_id").alias("a"), F.col("registers").alias("r_a"))
+    right = slim.select(F.col("doc_id").alias("b"), F.col("registers").alias("r_b"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        alike = pairs.distinct().join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        return materialise(_promising(alike, threshold), "pairs")
-
-    # every document against the smallest and the largest id of each of its bands
-    ends = entries.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    star = entries.join(ends, "band").select("doc_id", F.explode(F.array("lo", "hi")).alias("to")).where("doc_id != to")
-    star = estimated(star.select(F.greatest("doc_id", "to").alias("a"), F.least("doc_id", "to").alias("b")))
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    links = _confirmed(best, texts, num, den)
-    roots = components(links)
-
-    rest = _apart(star.select("a", "b"), roots).join(best, ["a", "b"], "left_anti")
-    links = links.union(_confirmed(rest, texts, num, den))
+        return materialise(_promising(pairs.distinct().join(left, "a").join(right, "b"), threshold), "pairs")
+
+    # every document against the smallest id of each of its bands
+    lowest = [F.min_by(c, "doc_id").alias(f"{c}_lo") for c in ("n", "fold_1", "fold_2")]
+    ends = entries.groupBy("band").agg(F.min("doc_id").alias("lo"), *lowest)
+    star = entries.alias("a").join(ends.select("band", *[F.col(c + "_lo").alias(c) for c in ("n", "fold_1", "fold_2")], "lo").alias("b"), "band")
+    star = star.where("doc_id != lo").where(_alike("a", "b", num, den)).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
+    star = estimated(star)
+    links = _confirmed(star, texts, num, den)
     roots = components(links)
 
     # bands that still mix components: their pairs across components, unless the registers tell them apart
     placed = entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     placed = materialise(placed.join(mixed, "band", "left_semi"), "mixed-bands")
+    placed = placed.join(_common(placed.select("doc_id", "n", "fold_1", "fold_2").distinct(), texts), ["doc_id", "n"])
+    placed = materialise(placed.where(F.col("common") * den >= F.col("n") * num), "open-bands")
+    sets = only_ids(texts, placed, "doc_id").select("doc_id", "text").mapInArrow(_arrays, ARRAYS)
+    placed = placed.join(sets.dropDuplicates(["doc_id", "n", "first"]), ["doc_id", "n"])
     a, b = placed.alias("a"), placed.alias("b")
+    # the sets are compared as part of the join, so only links come out of it
+    both = F.size(F.array_intersect("a.shingles", "b.shingles"))
     pairs = a.join(
         b,
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.doc_id") > F.col("b.doc_id"))
         & (F.col("a.root") != F.col("b.root"))
-        & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-        & (_differing_bits("a", "b") <= int(_most_differing(threshold))),
-    ).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
-    pairs = estimated(pairs).select("a", "b").join(star.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(_confirmed(pairs, texts, num, den))
+        & (F.least("a.common", "b.common") * (den + num) >= (F.col("a.n") + F.col("b.n")) * num)
+        & _alike("a", "b", num, den)
+        & (both * (den + num) >= (F.col("a.n") + F.col("b.n")) * num),
+    )
+    more = pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    return links.union(materialise(more, "links"))
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of bands that at least two documents have."""
-    bands = entries.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("band")
-    return entries.join(bands, "band", "left_semi")
+ARRAYS = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("first", T.LongType()),
+        T.StructField("shingles", T.ArrayType(T.LongType())),
+    ]
+)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components so far."""
-    a = roots.select(F.col("node").alias("a"), F.col("root").alias("_a"))
-    b = roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
-    return (
-        pairs.join(a, "a", "left")
-        .join(b, "b", "left")
-        .where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-        .select("a", "b")
-    )
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles = Shingler()
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):
+            batch = whole.slice(start, 512)
+            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            columns = [[len(s) for s in sets], [int(s[0]) if len(s) else None for s in sets]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(sets, pa.list_(pa.int64()))], ARRAYS.names
+            )
+
+
+def _common(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, n, common): how many shingles of each of ``members`` (doc_id, n, ...) another member may have too.
 
+    No member's intersection with another can be larger, which rules out pairs of heavily edited copies one document at a
+    time. A shingle that only one document has is recognised by its count, so frequent ones are only counted.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingle", T.LongType())])
 
-def _differing_bits(a: str, b: str) -> Column:
-    """Registers whose lowest bits differ: half of those that differ."""
-    return sum((F.bit_count(F.col(f"{a}.fold_{i}").bitwiseXOR(F.col(f"{b}.fold_{i}"))) for i in (1, 2)), F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                sets = [shingles(t) for t in batch.column(1).to_pylist()]
+                ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], schema.names
+                )
+
+    held = only_ids(texts, members, "doc_id").select("doc_id", "text").mapInArrow(run, schema)
+    alone = held.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    alone = alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    # a doc_id may stand for several texts: then some of what only it has may be in the others
+    others = members.groupBy("doc_id").agg(F.sum("n").alias("total")).join(alone, "doc_id", "left")
+    own = F.greatest(F.coalesce("alone", F.lit(0)) - (F.col("total") - F.col("n")), F.lit(0))
+    return members.select("doc_id", "n").distinct().join(others, "doc_id").select("doc_id", "n", (F.col("n") - own).alias("common"))
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """Entries of bands that at least two documents have."""
+    bands = entries.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("band")
+    return entries.join(bands, "band", "left_semi")
 
 
-def _most_differing(threshold: float) -> float:
-    p = (1 - threshold) / 2
-    return BUCKETS * p + SLACK_ERRORS * (BUCKETS * p * (1 - p)) ** 0.5
+def _alike(a: str, b: str, num: int, den: int) -> Column:
+    """Whether two sets' sizes allow the index, and few enough of their registers differ in the lowest bit (half of those
+    that differ do)."""
+    p = (1 - num / den) / 2
+    most = int(BUCKETS * p + SLACK_ERRORS * (BUCKETS * p * (1 - p)) ** 0.5)
+    bits = sum((F.bit_count(F.col(f"{a}.fold_{i}").bitwiseXOR(F.col(f"{b}.fold_{i}"))) for i in (1, 2)), F.lit(0))
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (bits <= most)
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
