@@ -57,8 +57,9 @@ class Features:
         kept = self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        for w in counts.keys() - kept.keys():
-            kept[w] = xxh32_intdigest(w) % WORD_BUCKETS
+        for w in counts:
+            if w not in kept:
+                kept[w] = xxh32_intdigest(w) % WORD_BUCKETS
         buckets = np.fromiter(map(kept.__getitem__, counts), np.int64, len(counts))
         values = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
         values = np.bincount(buckets, values, WORD_BUCKETS) if len(values) else np.zeros(WORD_BUCKETS)
