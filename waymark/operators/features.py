@@ -94,7 +94,7 @@ def geo_embedding(matrix: DataFrame, components: int) -> DataFrame:
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     spark = matrix.sparkSession
-    codes = skew.sorted_codes(matrix, "cell", 3)
+    codes = skew.sorted_codes(matrix, "cell")
     table = materialise(matrix.join(codes, "cell"), "geo-matrix")
     rows = table.select("code", F.array(*[F.col(h).cast("double") for h in HOURS]).alias("v")).rdd.map(
         lambda r: IndexedRow(r.code, Vectors.dense(r.v))
