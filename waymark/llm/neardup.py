@@ -94,25 +94,32 @@ SIGNATURE = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("set_hash", T.BinaryType()),
+        T.StructField("set_id", T.LongType()),
         T.StructField("registers", T.BinaryType()),
         T.StructField("fold_1", T.LongType()),
         T.StructField("fold_2", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
-_SIGNATURE_ARROW = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+_SIGNATURE_ARROW = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+
+def set_id(h: np.ndarray) -> int | None:
+    """Half of the digest of sorted distinct hashes, which tells the sets of one doc_id apart; null for the empty set."""
+    return int(np.bitwise_xor.reduce(_mixed(h + np.uint64(7))).view(np.int64)) if len(h) else None
 
 
 def signature(h: np.ndarray) -> tuple:
-    """Size, digest, registers, one bit of every register as two longs, and band keys of sorted distinct hashes."""
+    """Size, digest, half of it, registers, one bit of every register as two longs, and band keys of sorted distinct hashes."""
     if not len(h):
-        return 0, None, None, None, None, None
+        return 0, None, None, None, None, None, None
     r = registers(h)
     bands = r[: BUCKETS // BAND_ROWS * BAND_ROWS].reshape(-1, BAND_ROWS)
     keys = [xxh3_64_intdigest(b.tobytes(), seed=i) - (1 << 63) for i, b in enumerate(bands) if (b != _EMPTY).any()]
-    digest = np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mixed(h + np.uint64(7)))]).tobytes()
+    half = set_id(h)
+    digest = np.array([h.sum(dtype=np.uint64), np.array(half).view(np.uint64)]).tobytes()
     folds = np.packbits((r & 1).astype(np.uint8)).view(np.int64)
-    return len(h), digest, r.tobytes(), int(folds[0]), int(folds[1]), keys
+    return len(h), digest, half, r.tobytes(), int(folds[0]), int(folds[1]), keys
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +219,7 @@ def _links(reps: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """Confirmed links that connect every component of the representatives."""
     threshold = num / den
     slim = reps.select("doc_id", "registers")
-    entries = reps.select(F.explode("bands").alias("band"), "doc_id", "n", "fold_1", "fold_2")
+    entries = reps.select(F.explode("bands").alias("band"), "doc_id", "set_id", "n", "fold_1", "fold_2")
     entries = materialise(_shared(entries), "bands")
     left = slim.select(F.col("doc_id").alias("a"), F.col("registers").alias("r_a"))
     right = slim.select(F.col("doc_id").alias("b"), F.col("registers").alias("r_b"))
@@ -233,10 +240,10 @@ def _links(reps: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     placed = entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     placed = materialise(placed.join(mixed, "band", "left_semi"), "mixed-bands")
-    placed = placed.join(_common(placed.select("doc_id", "n", "fold_1", "fold_2").distinct(), texts), ["doc_id", "n"])
+    placed = placed.join(_common(placed.select("doc_id", "set_id", "n").distinct(), texts), ["doc_id", "set_id", "n"])
     placed = materialise(placed.where(F.col("common") * den >= F.col("n") * num), "open-bands")
     sets = only_ids(texts, placed, "doc_id").select("doc_id", "text").mapInArrow(_arrays, ARRAYS)
-    placed = placed.join(sets.dropDuplicates(["doc_id", "n", "first"]), ["doc_id", "n"])
+    placed = placed.join(sets.dropDuplicates(["doc_id", "set_id", "n"]), ["doc_id", "set_id", "n"])
     a, b = placed.alias("a"), placed.alias("b")
     # the sets are compared as part of the join, so only links come out of it
     both = F.size(F.array_intersect("a.shingles", "b.shingles"))
@@ -257,7 +264,7 @@ ARRAYS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("n", T.LongType()),
-        T.StructField("first", T.LongType()),
+        T.StructField("set_id", T.LongType()),
         T.StructField("shingles", T.ArrayType(T.LongType())),
     ]
 )
@@ -269,38 +276,36 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, whole.num_rows, 512):
             batch = whole.slice(start, 512)
             sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            columns = [[len(s) for s in sets], [int(s[0]) if len(s) else None for s in sets]]
+            columns = [[len(s) for s in sets], [set_id(s.view(np.uint64)) for s in sets]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(sets, pa.list_(pa.int64()))], ARRAYS.names
             )
 
 
 def _common(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, n, common): how many shingles of each of ``members`` (doc_id, n, ...) another member may have too.
+    """(doc_id, set_id, n, common): how many shingles of each of ``members`` (doc_id, set_id, n) another set may have too.
 
     No member's intersection with another can be larger, which rules out pairs of heavily edited copies one document at a
-    time. A shingle that only one document has is recognised by its count, so frequent ones are only counted.
+    time. A shingle that only one set has is recognised by its count, so frequent ones are only counted.
     """
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingle", T.LongType())])
+    schema = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("shingle", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                sets = [shingles(t) for t in batch.column(1).to_pylist()]
-                ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+                sets = [s for t in batch.column(0).to_pylist() if len(s := shingles(t))]
+                ids = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], schema.names
                 )
 
-    held = only_ids(texts, members, "doc_id").select("doc_id", "text").mapInArrow(run, schema)
-    alone = held.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
-    alone = alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
-    # a doc_id may stand for several texts: then some of what only it has may be in the others
-    others = members.groupBy("doc_id").agg(F.sum("n").alias("total")).join(alone, "doc_id", "left")
-    own = F.greatest(F.coalesce("alone", F.lit(0)) - (F.col("total") - F.col("n")), F.lit(0))
-    return members.select("doc_id", "n").distinct().join(others, "doc_id").select("doc_id", "n", (F.col("n") - own).alias("common"))
+    held = only_ids(texts, members, "doc_id").select("text").mapInArrow(run, schema)
+    alone = held.groupBy("shingle").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last")).where("set_id = last")
+    alone = alone.groupBy("set_id").agg(F.count("*").alias("alone"))
+    common = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")
+    return members.join(alone, "set_id", "left").select("doc_id", "set_id", "n", common)
 
 
 def _shared(entries: DataFrame) -> DataFrame:
