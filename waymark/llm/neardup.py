@@ -11,8 +11,8 @@ whose members confirmed links do not yet connect, the pairs across components, c
 come out of it; documents too many of whose shingles occur in no other such document stay out.
 
 Defined results: a null, empty or blank text has an empty set and no links; fewer than five words make one shingle; equal
-texts are linked; each row is a document of its own, and rows with one doc_id count as one node when links are followed; a
-row with a null doc_id gives and gets no link (null component and kept); an empty table gives an empty table; extra columns play no part.
+texts are linked; each row is a document of its own, and rows with one doc_id count as one node when links are followed, also those
+through equal sets; a row with a null doc_id gives and gets no link (null component and kept); an empty table gives an empty table; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -204,8 +204,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     members = materialise(members, "sets")
     reps = signed.join(members, ["set_hash", "n", "doc_id"], "left_semi").dropDuplicates(["set_hash", "n", "doc_id"])
     reps = materialise(reps, "representatives")
-    links = _links(reps, texts, num, den)
-    roots = components(links)
+    roots = components(_links(reps, texts, num, den).union(_own_links(signed, members)))
     named = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "set_hash", "n", F.coalesce("root", "doc_id").alias("component_id")
     )
@@ -215,6 +214,14 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def _own_links(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between a doc_id that has several sets and the representative of each."""
+    filled = signed.where("n > 0 and doc_id is not null")
+    several = filled.groupBy("doc_id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least != most")
+    sets = materialise(filled.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("b"), "set_hash", "n"), "several-sets")
+    return sets.join(members, ["set_hash", "n"]).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
 def _links(reps: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """Confirmed links that connect every component of the representatives."""
     threshold = num / den
