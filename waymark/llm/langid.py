@@ -30,6 +30,8 @@ ORDERS = (3, 5)
 DOCUMENTS_PER_LANGUAGE = 4000
 GRAMS_PER_LANGUAGE = 30_000
 LEAST_DOCUMENTS = 3
+#: Learned documents of a language for each document more that an n-gram must occur in, from one up to the bound.
+DOCUMENTS_A_STEP = 50
 SLOT_BITS = 20
 PROBES = 3
 #: Letters worked on at once in a Python worker; longer texts are counted piece by piece.
@@ -143,7 +145,10 @@ def learn(docs: DataFrame) -> Filters:
                 )
 
     texts = only_ids(named.select("doc_id", "text", "lang"), chosen, "doc_id").select("text", "lang")
-    counted = texts.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCUMENTS)
+    counted = texts.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    steps = F.lit(1) + F.floor(F.count("*") / DOCUMENTS_A_STEP)
+    least = chosen.groupBy("lang").agg(F.least(F.lit(LEAST_DOCUMENTS), steps).alias("least"))
+    counted = counted.join(F.broadcast(least), "lang").where("docs >= least").drop("least")
     most = Window.partitionBy("lang").orderBy(F.desc("docs"), "gram")
     kept = counted.withColumn("_n", F.row_number().over(most)).where(F.col("_n") <= GRAMS_PER_LANGUAGE).select("lang", "gram")
     return _filled(sorted(sizes, key=lambda lang: (-sizes[lang], lang)), kept.toArrow())
