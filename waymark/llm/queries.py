@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
-    "op2_packing": packing.op2_packing,
     "op3_hamming": hamming.OP3_SQL,
 }
