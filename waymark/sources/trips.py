@@ -139,5 +139,7 @@ def derived_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``trips_from_events`` over a data folder, written once per application as the input table of all queries."""
     path = f"{application_dir(spark)}/trips-{hashlib.md5(sf_dir.encode()).hexdigest()}"
     trips = trips_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    trips.write.mode("ignore").parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):  # a failed write leaves the folder without it
+        trips.write.mode("overwrite").parquet(path)
     return spark.read.schema(trips.schema).parquet(path)
