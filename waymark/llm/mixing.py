@@ -2,8 +2,9 @@
 
 Sizes are word counts. Every source gets a target (its weight's share of the budget, at most ``max_repeats`` times its
 own size). Its documents queue in shuffled order, up to ``max_repeats`` passes; each copy has a virtual finish time, the
-words of its source up to and including it divided by the source's target. All queues are merged by finish time and cut
-where the budget is spent, so every source is served in step with its target.
+words of its source up to and including it divided by the source's target. All queues are cut at the finish time where the
+budget is spent, so every source is served in step with its target. The cut is found in a histogram of finish times, without a range
+sort; the rows taken are those of the merged queues, but they come in the order of the input, not interleaved.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of its own, the
 last; equal rows take part one by one; an empty table gives an empty table; input columns named like an output column are replaced.
