@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import ann, bpe, hamming, langid, lines, mixing, neardup, packing, quality, warc
+from waymark.llm import ann, bpe, centroids, exact, hamming, langid, lines, mixing, neardup, packing, quality, resample, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_neighbours": ann.op8_neighbours,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_warc": warc.op10_warc,
+    "op11_resample": resample.op11_resample,
+    "op12_clusters": centroids.op12_clusters,
+    "op13_exact": exact.op13_exact,
 }
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
     "op3_hamming": hamming.OP3_SQL,
+    "op11_resample": resample.OP11_SQL,
+    "op12_clusters": centroids.OP12_SQL,
+    "op13_exact": exact.OP13_SQL,
 }
