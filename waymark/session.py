@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,14 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{application_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Spark has no function for it that works on every store; where this one is missing, the table stays."""
+    context = getattr(spark, "_jsc", None)
+    if context is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -57,4 +66,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+#: Where ``materialise`` wrote the tables that are still in use.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` gave, once everything that follows from them is written."""
+    for table in tables:
+        _remove(table.sparkSession, _written.pop(table))
