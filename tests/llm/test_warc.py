@@ -85,6 +85,33 @@ def test_false_starts_across_ranges(spark, tmp_path):
         warc.read(spark, f"file://{folder}").collect()
 
 
+def with_extra(member: bytes, extra: bytes) -> bytes:
+    """The same member with an extra field in its gzip header."""
+    return member[:3] + b"\x04" + member[4:10] + len(extra).to_bytes(2, "little") + extra + member[10:]
+
+
+def test_magic_numbers_in_a_record_s_own_first_bytes(spark, tmp_path):
+    """They come before a byte can be inflated, so the start must wait for the pieces after it; at every split."""
+    members = [(0, b"first", warc.record(0, None, b"first", None, False))]
+    for i, extra in enumerate([warc.MAGIC, warc.MAGIC * 3, b"ab" + warc.MAGIC + b"\x00" * 9, warc.MAGIC + warc.EMPTY_MEMBER[3:9]], 1):
+        payload = f"payload {i} ".encode() * (i * 30)
+        members.append((i, payload, with_extra(warc.record(i, None, payload, None, False), extra)))
+    data = b"".join(m for _, _, m in members)
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.warc.gz.txt").write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for part in [*range(40, 140, 3), 333, len(data) - 1, 1 << 20]:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(part))
+            rows = warc.read(spark, f"file://{folder}").collect()
+            assert sorted((r.record_id, bytes(r.payload)) for r in rows) == [(f"<urn:x-page:{i}>", p) for i, p, _ in members]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_hard_rows(spark, tmp_path):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "x" * 3_000_000), (3, "u", "x" * 3_000_000), (None, "u", "x" * 3_000_000), (4, "u", "x" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, payload string")

@@ -4,12 +4,14 @@ Every record is a gzip member of its own. Spark's text writer puts the members d
 protocol, in any store it can reach); as it ends each row with a separator, the separator is an empty member,
 which decoders skip. The reader gives Spark's text source the gzip magic as line separator, so each task scans a byte
 range for magic numbers and reads on past its end to finish what starts inside. A candidate counts as a record only if its
-header inflates to a WARC version line; magic numbers inside compressed data are put back. A piece
-that such a false start cut off at a range's border goes, with the rest of its record, through a small step by file.
+header inflates to a WARC version line; magic numbers inside compressed data are put back. A candidate of which too few bytes are
+there to tell, as when a magic number follows inside its own first bytes, takes the pieces after it before it is judged. A piece
+that a false start cut off at a range's border goes, with the rest of its record, through a small step by file.
 
 Defined results: a null html is an empty payload; a null url leaves out the target; a null page_id is written and read as
 null and takes no part in finding equal payloads (it is a response); of equal payloads all rows with the smallest page_id
-are responses; an empty table gives no records; extra columns play no part; a damaged or cut-off record raises an error.
+are responses; an empty table gives no records; extra columns play no part; a payload of any length is one record and is held whole by
+the task that reads it; a damaged or cut-off record raises an error.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from waymark.session import new_table_path
 
 MAGIC = b"\x1f\x8b\x08"
+VERSION = b"WARC/"
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "0000000000000000")
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,25 +123,23 @@ SCANNED = T.StructType(
 )
 
 
-def _starts_record(data: bytes) -> bool:
-    """Whether a candidate member's header inflates to the start of a record, or it is an empty member."""
+def _starts_record(data: bytes) -> bool | None:
+    """Whether a candidate member's header inflates to the start of a record, or it is an empty member; None if more bytes must tell."""
     unpacker = zlib.decompressobj(31)
     try:
-        head = unpacker.decompress(data, 5)
+        head = unpacker.decompress(data, len(VERSION))
     except zlib.error:
         return False
-    return head == b"WARC/" or (head == b"" and unpacker.eof)
+    if head == VERSION or (head == b"" and unpacker.eof):
+        return True
+    return None if VERSION.startswith(head) and not unpacker.eof else False
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """The content of a whole member, None if it is cut off."""
+def _inflated(data: bytes) -> tuple[bytes | None, bytes]:
+    """The content of the member at the front of ``data``, None if it is cut off, and what follows it."""
     unpacker = zlib.decompressobj(31)
     content = unpacker.decompress(data)
-    if not unpacker.eof:
-        return None
-    if unpacker.unused_data:
-        raise ValueError("bytes that belong to no record follow a record")
-    return content
+    return (content, unpacker.unused_data) if unpacker.eof else (None, b"")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -167,23 +168,49 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at: tuple[str, int] | None = None
     pending: list[bytes] = []
     stray: list[bytes] = []
+    undecided: list[bytes] = []
 
     def flush() -> bool:
         """Turn what is pending into a record; False if it is cut off."""
         if not pending:
             return True
-        content = _inflated(b"".join(pending))
+        content, rest = _inflated(b"".join(pending))
         if content is None:
             return False
+        if rest:
+            raise ValueError("bytes that belong to no record follow a record")
         pending.clear()
         if content:
             out.append((*parse(content), None, None, None, None))
         return True
 
+    def take(piece: bytes) -> None:
+        """One more piece. While a candidate is undecided, all pieces after it would lie inside its first bytes."""
+        undecided.append(piece)
+        starts = _starts_record(b"".join(undecided))
+        if starts:
+            if not flush():
+                raise ValueError(f"a record of {at[0]} is cut off")
+            pending.extend(undecided)
+            undecided.clear()
+        elif starts is False:
+            (pending or stray).append(undecided[0])
+            again = undecided[1:]
+            undecided.clear()
+            for other in again:
+                take(other)
+
     def end() -> None:
+        # a member that is whole can only be followed by a start, and one that isn't only by its rest
+        if not pending:
+            stray.extend(undecided)
+        else:
+            flush()
+            pending.extend(undecided)
+        undecided.clear()
         if stray:
             out.append((*[None] * 7, *at, 0, b"".join(stray)))
-        if not flush():
+        if pending:
             out.append((*[None] * 7, *at, 1, b"".join(pending)))
         pending.clear()
         stray.clear()
@@ -193,24 +220,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return made
 
-    for rows in batches:
-        for raw, file, start in zip(*[rows.column(c).to_pylist() for c in ("raw", "file", "range_start")]):
-            if (file, start) != at:
-                if at is not None:
-                    end()
-                at = (file, start)
-                if start == 0:  # what stands before a file's first magic number
-                    if raw:
-                        raise ValueError(f"{file} doesn't start with a gzip member")
-                    continue
-            data = MAGIC + raw
-            if _starts_record(data):
-                if not flush():
-                    raise ValueError(f"a record of {file} is cut off")
-                pending.append(data)
-            else:
-                (pending or stray).append(data)
-        yield batch()
+    for whole in batches:
+        for first in range(0, whole.num_rows, 256):
+            rows = whole.slice(first, 256)
+            for raw, file, start in zip(*[rows.column(c).to_pylist() for c in ("raw", "file", "range_start")]):
+                if (file, start) != at:
+                    if at is not None:
+                        end()
+                    at = (file, start)
+                    if start == 0:  # what stands before a file's first magic number
+                        if raw:
+                            raise ValueError(f"{file} doesn't start with a gzip member")
+                        continue
+                take(MAGIC + raw)
+            yield batch()
     if at is not None:
         end()
         yield batch()
@@ -226,10 +249,13 @@ def _joined(pieces: pd.DataFrame) -> pd.DataFrame:
     found, pending = [], b""
     for raw in pieces.sort_values(["range_start", "piece"])["raw"]:
         pending += raw
-        content = _inflated(pending)
-        if content is not None:
-            found.append(parse(content))
-            pending = b""
+        while pending:
+            content, rest = _inflated(pending)
+            if content is None:
+                break
+            if content:
+                found.append(parse(content))
+            pending = rest
     if pending:
         raise ValueError(f"a record of {pieces['file'].iloc[0]} is cut off")
     return pd.DataFrame(found, columns=RECORD.names)
