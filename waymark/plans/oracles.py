@@ -214,6 +214,45 @@ probs as materialized (
   select 'm3', q.fold, q.out_id, q.r_key, c.zoneid, 1::double from queries q join common c using (fold, out_id))
 """
 
+def boosted(rounds: int, depth: int, rate: float = 0.3, shrink: float = 1.0, least: float = 1.0, units: int = 1 << 20) -> str:
+    """Boosted trees, round after round and level after level, one row per trip and zone: margins ``bm0`` to ``bm{rounds}``."""
+    key, double = "fold, out_id, r_key", lambda c: f"(cast({c} as double)/{units}.0::double)"
+    fall = lambda g, h: f"({double(g)}*{double(g)}/({double(h)}+{shrink}::double))"
+    value = lambda g, h: f"(({-rate!r}::double*{double(g)})/({double(h)}+{shrink}::double))"
+    steps = [f"""
+brows as materialized (select {key}, [{', '.join(BASE)}] xs, end_zoneid label from train
+  union all select {key}, [{', '.join(BASE)}], null from queries),
+bx as materialized (select {key}, unnest(range({len(BASE)})) feature, unnest(xs) v from brows where label is not null),
+bm0 as materialized (select {key}, zone, 0::double m from brows join (select distinct fold, out_id, end_zoneid zone from train) using (fold, out_id))"""]
+    for r in range(1, rounds + 1):
+        steps.append(f"""
+be{r} as (select *, exp(m - max(m) over (partition by {key})) e from bm{r - 1}),
+bp{r} as (select *, e / sum(e) over (partition by {key}) p from be{r}),
+bg{r} as materialized (select {key}, zone, cast(round_even((p - case when zone = label then 1 else 0 end)*{units}, 0) as bigint) g,
+  greatest(cast(round_even(p*(1 - p)*2*{units}, 0) as bigint), 1) h from bp{r} join brows using ({key}) where label is not null),
+bn{r}_0 as (select {key}, zone, 0 node, -1::double v from bm{r - 1})""")
+        for i in range(depth):
+            node = "fold, out_id, zone, node"
+            root = f"""
+br{r} as materialized (select fold, out_id, zone, {value('sum(g)', 'sum(h)')} v from bg{r} group by all),""" if i == 0 else ""
+            before = f"(select n.* exclude (v), br.v from bn{r}_0 n join br{r} br using (fold, out_id, zone))" if i == 0 else f"bn{r}_{i}"
+            steps.append(f"""{root}
+bh{r}_{i} as materialized (select {node}, feature, v, sum(g) g, sum(h) h from (select * exclude (v) from bn{r}_{i}) join bg{r} using ({key}, zone) join bx using ({key})
+  where node >= 0 group by all),
+bs{r}_{i} as (select *, lead(v) over o nv, sum(g) over o gl, sum(h) over o hl, sum(g) over t gt, sum(h) over t ht from bh{r}_{i}
+  window o as (partition by {node}, feature order by v rows between unbounded preceding and current row), t as (partition by {node}, feature)),
+bc{r}_{i} as materialized (select *, {fall('gl', 'hl')}+{fall('(gt-gl)', '(ht-hl)')}-{fall('gt', 'ht')} gain, {value('gl', 'hl')} lv, {value('(gt-gl)', '(ht-hl)')} rv
+  from bs{r}_{i} where nv is not null and least({double('hl')}, {double('(ht-hl)')}) >= {least}
+  qualify gain > 0 and row_number() over (partition by {node} order by gain desc, feature, v) = 1),
+bn{r}_{i + 1} as materialized (select n.fold, n.out_id, n.r_key, n.zone,
+    case when c.feature is null then -1 when 2*xs[feature+1] > c.v + nv then 2*n.node + 1 else 2*n.node end node,
+    case when c.feature is null then n.v when 2*xs[feature+1] > c.v + nv then rv else lv end v
+  from {before} n join brows using ({key}) left join bc{r}_{i} c using ({node}))""")
+        steps.append(f"""
+bm{r} as materialized (select {key}, zone, m + v m from bm{r - 1} join bn{r}_{depth} using ({key}, zone))""")
+    return ",".join(steps)
+
+
 SCORES = f"""
 picked as materialized (select model, fold, out_id, r_key, arg_max(zoneid, p*1000000-zoneid) predict_zone_id, max(p) p from probs group by all),
 preds as materialized (select k.*, z.center_lat predict_lat, z.center_lon predict_lon
@@ -555,6 +594,12 @@ def oracle_sql() -> dict[str, str]:
         TRIPS, ZONES, SNAP, TREE,
         "select out_id, feature, cast(v+nv as bigint) twice_cut, cast(w as bigint) weight, round(score - cast(s as double)/w, 6) gain from scoredcuts qualify row_number() over (partition by out_id order by score desc, feature, v)=1",
     )
+    boost = boosted(rounds=2, depth=4)
+    q["boosted_probabilities"] = query(
+        *models[:-1], boost,
+        "last as (select *, exp(m - max(m) over (partition by fold, out_id, r_key)) e from bm2 semi join queries using (fold, out_id, r_key))",
+        "select fold, out_id, r_key, zone zoneid, round(e / sum(e) over (partition by fold, out_id, r_key), 6) p from last",
+    )
     q["knn_probabilities"] = query(*models, "select fold, out_id, r_key, zoneid, p from probs where model='m0'")
     q["fold_average"] = query(*models, "select fold, r_key, zoneid, round(avg(p), 6) p from probs where model<>'m3' group by all")
     q["predicted_zone"] = query(*scores, "select model, fold, r_key, out_id, predict_zone_id, p from picked")

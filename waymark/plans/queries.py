@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import (
+    boosting,
     cohorts,
     enrich,
     ensemble,
@@ -569,6 +571,23 @@ def forest_probabilities(spark, sf):
     return pipeline.forest_run(_examples(spark, sf), trees=20, depth=4, fold="final")
 
 
+def _boosted(spark: SparkSession, sf: str, settings: boosting.Settings, stop_early: bool) -> DataFrame:
+    examples, keys = _examples(spark, sf), ["fold", "out_id"]
+    held = examples.queries.where("fold = 'validate'") if stop_early else None
+    return boosting.boosted_probabilities(examples.train, examples.queries, features.feature_columns("0"), settings, held, keys)
+
+
+@query
+def boosted_probabilities(spark, sf):
+    found = _boosted(spark, sf, boosting.Settings(rounds=2, depth=4), stop_early=False)
+    return found.withColumn("p", F.round("p", 6))
+
+
+@query
+def boosted_leafwise(spark, sf):
+    return _boosted(spark, sf, replace(boosting.LEAF_WISE, rounds=4, depth=5, least_rows=3), stop_early=True)
+
+
 @query
 def knn_probabilities(spark, sf):
     return _runs(spark, sf, "m0")[1].select("fold", "out_id", "r_key", "zoneid", "p")
