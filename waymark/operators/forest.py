@@ -1,11 +1,13 @@
 """Random forests of all cars at once, grown level by level.
 
-Trees of all cars grow together: each level is one counting job. A training row is weighted per tree by a hashed
-Poisson draw, walks the splits found so far, and adds its weight to ``(car, tree, node, feature, value, zone)`` counts,
+Trees of all cars grow together: each level is one counting job. A training row has a weight per tree (a hashed Poisson draw, or what else
+the caller asks for), walks the splits found so far, and adds its weight to ``(car, tree, node, feature, value, zone)`` counts,
 which Spark combines before the shuffle. Split search then works on these counts only. The splits of a car are four short
-arrays (at most ``trees * 2**level`` entries each), so rows meet them in one join per level.
+arrays (at most ``trees * 2**level`` entries each), so rows meet them in one join per level. Cuts lie between any two values
+that occur, however many there are. The features of a node are drawn once for all cars with as many features, not row by row.
 
-Features are whole numbers in an array ``x`` or, when most are zero, a map ``x`` from feature to value.
+Draws come from MD5, so other engines can repeat them. Features are whole numbers in an array ``x`` or, when most are zero, a map ``x`` from
+feature to value.
 """
 
 from __future__ import annotations
@@ -19,49 +21,49 @@ from waymark.session import materialise
 
 CAR = ("out_id",)
 
-# Measures are cut into at most BINS equal steps of their range in a car, which bounds the counts per node. Whole numbers with
-# a smaller range stay as they are, and so do zone ids, which are names.
-BINS = 4096
-
 # Cumulative Poisson(1) probabilities of 0, 1, 2, ... copies of a row in a bootstrap sample.
 POISSON_1 = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941, 0.99992)
 
 
-def bin_features(train: DataFrame, queries: DataFrame, columns: Sequence[str], keys: Sequence[str] = CAR) -> tuple[DataFrame, DataFrame]:
-    """Rows ``keys, r_key, [label,] x, n_features`` with measures cut into equal steps of their range."""
+def feature_rows(train: DataFrame, queries: DataFrame, columns: Sequence[str], keys: Sequence[str] = CAR) -> tuple[DataFrame, DataFrame]:
+    """Rows ``keys, r_key, [label,] x, n_features``; queries only of cars with training rows."""
     keys = list(keys)
-    ranges = materialise(
-        train.groupBy(*keys).agg(
-            F.count("*").alias("_n"),
-            *[F.min(c).alias(f"_lo_{c}") for c in columns],
-            *[F.max(c).alias(f"_hi_{c}") for c in columns],
-        ),
-        "forest-ranges",
+    x = F.array(*[F.col(c).cast("bigint") for c in columns]).alias("x")
+    size = F.lit(len(columns)).alias("n_features")
+    known = train.select(*keys).distinct()
+    return (
+        train.select(*keys, "r_key", F.col("end_zoneid").alias("label"), x, size),
+        queries.select(*keys, "r_key", x, size).join(known, keys, "left_semi"),
     )
 
-    def binned(rows: DataFrame, extra: list[Column]) -> DataFrame:
-        joined = rows.join(ranges, keys, "inner")
-        values = []
-        for c in columns:
-            low, high, v = F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), F.col(c).cast("bigint")
-            step = F.ceil((high - low + 1) / F.lit(BINS))
-            cut = low + F.floor((F.least(high, F.greatest(low, v)) - low) / step) * step
-            values.append((v if c.endswith("zoneid") else cut).cast("bigint"))
-        return joined.select(*keys, "r_key", *extra, F.array(*values).alias("x"), F.lit(len(columns)).alias("n_features"))
-
-    return binned(train, [F.col("end_zoneid").alias("label")]), binned(queries, [])
-
 
-def _value(x: Column, feature: Column, sparse: bool) -> Column:
-    return F.coalesce(x[feature], F.lit(0)).cast("bigint") if sparse else F.get(x, feature)
+def _drawn(*parts: Column | str | int) -> Column:
+    """A whole number below 2**32 from the MD5 of the parts, joined by colons."""
+    text = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
-def _weight(seed: int) -> Column:
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("r_key")), F.lit(100_000)) / F.lit(1e5)
+def bootstrap(seed: int = 0) -> Column:
+    """How often a row is in the sample of ``tree``."""
+    draw = _drawn(seed, "tree", "r_key") / F.lit(float(1 << 32))
     copies = F.lit(len(POISSON_1))
     for i in range(len(POISSON_1) - 1, -1, -1):
         copies = F.when(draw < POISSON_1[i], i).otherwise(copies)
-    return copies
+    return copies.cast("bigint")
+
+
+def fold_of(folds: int, r_key: str = "r_key") -> Column:
+    """The fold of a trip, from 0."""
+    return (_drawn(F.lit("fold"), r_key) % folds).cast("int")
+
+
+def other_folds(folds: int) -> Column:
+    """Tree number f learns from all rows but those of fold f."""
+    return (fold_of(folds) != F.col("tree")).cast("bigint")
+
+
+def _value(x: Column, feature: Column, sparse: bool) -> Column:
+    return F.coalesce(x[feature], F.lit(0)).cast("bigint") if sparse else F.get(x, feature)
 
 
 def _walk(rows: DataFrame, levels: int, sparse: bool) -> DataFrame:
@@ -93,29 +95,32 @@ def _per_tree(rows: DataFrame, model: DataFrame | None, keys: list[str], trees:
     return _walk(spread, levels, sparse).select(*keys, "r_key", *extra, "x", "n_features", "tree", "node", "stop")
 
 
-def _weighted(rows: DataFrame, bootstrap: bool, seed: int) -> DataFrame:
-    if not bootstrap:
+def _weighted(rows: DataFrame, weight: Column | None) -> DataFrame:
+    if weight is None:
         return rows.withColumn("w", F.lit(1).cast("bigint"))
-    return rows.withColumn("w", _weight(seed).cast("bigint")).where("w > 0")
+    return rows.withColumn("w", weight).where("w > 0")
 
 
-def split_counts(rows: DataFrame, level: int, per_node: int | None, seed: int, keys: list[str], sparse: bool) -> DataFrame:
-    """Weights per ``(keys, tree, node, feature, value, label)``; each node looks at ``per_node`` hashed features."""
+def _features(nodes: DataFrame, level: int, per_node: int, seed: int) -> DataFrame:
+    """(n_features, tree, node, feature) of the features that each of ``nodes`` (n_features, tree, node) looks at."""
     count = F.col("n_features")
-    if per_node is None:
-        features = F.sequence(F.lit(0), count - 1)
-    else:
-        wanted = F.greatest(F.lit(per_node), F.ceil(F.sqrt(count.cast("double")))) if per_node == 0 else F.lit(per_node)
-        drawn = F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda j: F.struct(F.xxhash64(F.lit(seed), F.col("tree"), F.lit(level), F.col("node"), j).alias("h"), j.cast("int").alias("j")),
-        )
-        features = F.transform(F.slice(F.array_sort(drawn), 1, wanted.cast("int")), lambda s: s.j)
-    return (
-        rows.withColumn("feature", F.explode(features))
-        .groupBy(*keys, "tree", "node", "feature", _value(F.col("x"), F.col("feature"), sparse).alias("value"), "label")
-        .agg(F.sum("w").alias("w"))
+    wanted = F.ceil(F.sqrt(count.cast("double"))) if per_node == 0 else F.lit(per_node)
+    drawn = F.transform(
+        F.sequence(F.lit(0), count - 1),
+        lambda j: F.struct(_drawn(seed, "tree", level, "node", j).alias("h"), j.cast("int").alias("j")),
     )
+    chosen = F.transform(F.slice(F.array_sort(drawn), 1, wanted.cast("int")), lambda s: s.j)
+    return materialise(nodes.select("n_features", "tree", "node", F.explode(chosen).alias("feature")), "forest-features")
+
+
+def split_counts(rows: DataFrame, features: DataFrame | None, keys: list[str], sparse: bool) -> DataFrame:
+    """Weights per ``(keys, tree, node, feature, value, label)``, of all features or those in ``features``."""
+    if features is None:
+        rows = rows.withColumn("feature", F.explode(F.sequence(F.lit(0), F.col("n_features") - 1)))
+    else:
+        rows = rows.join(features, ["n_features", "tree", "node"])
+    value = _value(F.col("x"), F.col("feature"), sparse).alias("value")
+    return rows.groupBy(*keys, "tree", "node", "feature", value, "label").agg(F.sum("w").alias("w"))
 
 
 def best_splits(counts: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
@@ -182,56 +187,86 @@ def grow(
     trees: int,
     depth: int,
     seed: int = 0,
-    bootstrap: bool = True,
-    per_node: int | None = 0,
+    weight: Column | None = None,
+    per_node: int | None = None,
     keys: Sequence[str] = CAR,
     sparse: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Grow the forests. Returns the model (one row per car) and all splits with their gain.
 
-    ``per_node`` features are tried at each node: 0 means the square root of their number, ``None`` all of them.
+    ``weight`` is a row's weight in ``tree`` (None: 1 in all). ``per_node`` features are tried at each node: 0 means the square root of
+    their number, ``None`` all of them.
     """
     keys = list(keys)
-    model = materialise(train.select(*keys).distinct(), "forest-cars")
-    every = None
+    model = materialise(train.groupBy(*keys).agg(F.max("n_features").alias("n_features")), "forest-cars")
+    sizes, every, splits = model, None, None
     for level in range(depth):
-        rows = _weighted(_per_tree(train, model, keys, trees, level, sparse, ["label"]), bootstrap, seed).where("stop < 0")
-        counts = split_counts(rows, level, per_node, seed, keys, sparse)
-        splits = materialise(best_splits(counts, keys).withColumn("level", F.lit(level)), "forest-splits")
+        features = None
+        if per_node is not None:
+            tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+            if splits is None:
+                nodes = sizes.select("n_features").distinct().select("n_features", tree, F.lit(0).alias("node"))
+            else:
+                below = F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node")
+                nodes = splits.join(sizes, keys).select("n_features", "tree", below).distinct()
+            features = _features(nodes, level, per_node, seed)
+        open_ = _weighted(_per_tree(train, model.drop("n_features"), keys, trees, level, sparse, ["label"]), weight).where("stop < 0")
+        found = best_splits(split_counts(open_, features, keys, sparse), keys)
+        splits = materialise(found.withColumn("level", F.lit(level)), "forest-splits")
         every = splits if every is None else every.unionByName(splits)
         model = materialise(model.join(_as_arrays(splits, level, trees, keys), keys, "left"), "forest-model")
     return model, every
 
 
-def forest_probabilities(
+def tree_shares(
     train: DataFrame,
     queries: DataFrame,
     trees: int = 50,
     depth: int = 4,
     seed: int = 0,
-    bootstrap: bool = True,
-    per_node: int | None = 0,
+    weight: Column | None = None,
+    per_node: int | None = None,
     keys: Sequence[str] = CAR,
     sparse: bool = False,
 ) -> DataFrame:
-    """Mean over trees of the zone shares in the leaf a query falls into."""
+    """``keys, tree, r_key, zoneid, p``: the zone shares in the leaf that a query falls into, tree by tree."""
     keys = list(keys)
-    model, _ = grow(train, trees, depth, seed, bootstrap, per_node, keys, sparse)
+    model, _ = grow(train, trees, depth, seed, weight, per_node, keys, sparse)
+    model = model.drop("n_features")
     leaf = [*keys, "tree", "stop", "node"]
     weights = (
-        _weighted(_per_tree(train, model, keys, trees, depth, sparse, ["label"]), bootstrap, seed)
-        .groupBy(*leaf, "label")
-        .agg(F.sum("w").alias("w"))
+        _weighted(_per_tree(train, model, keys, trees, depth, sparse, ["label"]), weight).groupBy(*leaf, "label").agg(F.sum("w").alias("w"))
     )
     totals = weights.groupBy(*leaf).agg(F.sum("w").alias("_all"))
-    shares = materialise(weights.join(totals, leaf).select(*leaf, "label", (F.col("w") / F.col("_all")).alias("p")), "forest-leaves")
+    shares = materialise(weights.join(totals, leaf).select(*leaf, F.col("label").alias("zoneid"), (F.col("w") / F.col("_all")).alias("p")), "forest-leaves")
     reached = _per_tree(queries, model, keys, trees, depth, sparse, []).drop("x", "n_features")
-    sums = reached.join(shares, leaf).groupBy(*keys, "r_key", "label").agg(F.sum("p").alias("p"))
-    # trees whose sample of a car was empty have no leaves; the rest share the weight
+    return reached.join(shares, leaf).select(*keys, "tree", "r_key", "zoneid", "p")
+
+
+def forest_probabilities(train: DataFrame, queries: DataFrame, trees: int = 100, depth: int = 4, seed: int = 0, keys: Sequence[str] = CAR, sparse: bool = False) -> DataFrame:
+    """Mean over trees of the zone shares in the leaf a query falls into.
+
+    Trees whose sample of a car is empty have no leaves; the rest share the weight.
+    """
+    keys = list(keys)
+    each = tree_shares(train, queries, trees, depth, seed, bootstrap(seed), 0, keys, sparse)
+    sums = each.groupBy(*keys, "r_key", "zoneid").agg(F.sum("p").alias("p"))
     over = sums.groupBy(*keys, "r_key").agg(F.sum("p").alias("_sum"))
-    return sums.join(over, [*keys, "r_key"]).select(
-        *keys, "r_key", F.col("label").alias("zoneid"), (F.col("p") / F.col("_sum")).alias("p")
-    )
+    return sums.join(over, [*keys, "r_key"]).select(*keys, "r_key", "zoneid", (F.col("p") / F.col("_sum")).alias("p"))
+
+
+def cross_fitted(train: DataFrame, folds: int = 5, depth: int = 4, keys: Sequence[str] = CAR) -> DataFrame:
+    """``keys, part, r_key, zoneid, p`` of every training row, from the tree that hasn't learned from its fold ``part``.
+
+    The trees of all folds grow side by side in the same jobs: a row has weight 0 in that of its own fold.
+    """
+    each = tree_shares(train, train.drop("label"), folds, depth, weight=other_folds(folds), keys=keys)
+    return each.where(F.col("tree") == fold_of(folds)).withColumnRenamed("tree", "part")
+
+
+def fold_shares(train: DataFrame, queries: DataFrame, folds: int = 5, depth: int = 4, keys: Sequence[str] = CAR) -> DataFrame:
+    """``keys, part, r_key, zoneid, p`` of every query from each of the trees that leave out one fold."""
+    return tree_shares(train, queries, folds, depth, weight=other_folds(folds), keys=keys).withColumnRenamed("tree", "part")
 
 
 def feature_importance(splits: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.features import feature_columns, scaler
@@ -30,18 +30,27 @@ def knn_probabilities(
     gp: str = "knn",
     keys: Sequence[str] = ("out_id",),
     small_points: int | None = None,
+    weights: str = "uniform",
 ) -> DataFrame:
     """Share of each end zone among the ``k`` nearest training trips of the car, features standardised on those trips.
 
-    Cars with fewer than ``k`` training trips use all of them. ``train`` needs ``end_zoneid`` and both need the features.
+    Cars with fewer than ``k`` training trips use all of them. ``train`` needs ``end_zoneid`` and both need the features. With ``weights``
+    "distance" a neighbour counts by the inverse of its distance; where some are at no distance, only these count, alike.
     """
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"weights are uniform or distance, not {weights}")
     keys, columns = list(keys), feature_columns(gp)
     fitted = scaler(train, columns, keys).select(*keys, F.array(*[F.col(f"std_{c}") for c in columns]).alias("scale"))
     x = F.array(*[F.col(c).cast("bigint") for c in columns]).alias("x")
     points = train.select(*keys, F.col("r_key").alias("p_id"), x, F.col("end_zoneid").alias("label"))
     asked = queries.select(*keys, F.col("r_key").alias("q_id"), x).join(fitted, keys, "inner")
     found = nearest(asked, points, keys, len(columns), k, power, [_bits(c) for c in columns], small_points)
-    votes = found.groupBy(*keys, "q_id", "label").agg(F.count("*").alias("_votes"))
+    weight = F.lit(1.0)
+    if weights == "distance":
+        met = F.min("dist").over(Window.partitionBy(*keys, "q_id")) == 0
+        weight = F.when(met, (F.col("dist") == 0).cast("double")).otherwise(1 / F.pow("dist", F.lit(1 / power)))
+    votes = found.withColumn("_weight", weight).groupBy(*keys, "q_id", "label").agg(F.sum("_weight").alias("_votes"))
+    votes = votes.where("_votes > 0")
     totals = votes.groupBy(*keys, "q_id").agg(F.sum("_votes").alias("_all"))
     return votes.join(totals, [*keys, "q_id"]).select(
         *keys, F.col("q_id").alias("r_key"), F.col("label").alias("zoneid"), (F.col("_votes") / F.col("_all")).alias("p")

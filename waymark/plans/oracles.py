@@ -196,7 +196,7 @@ def neighbours(k: int, p: int, columns, name: str, train="train", queries="queri
     total = "+".join("(" + "*".join([f"g{i}"] * p) + ")" for i in range(len(columns)))
     return f"""{name}_pairs as (select {kq}, q.r_key, t.r_key p_id, t.end_zoneid zoneid, {gaps}
   from {queries} q join {train} t on {on('q', 't')} join {dev} d on {on('q', 'd')}),
-{name}_near as (select {keys}, r_key, zoneid, row_number() over (partition by {keys}, r_key order by {total}, p_id) rank
+{name}_near as (select {keys}, r_key, zoneid, {total} far, row_number() over (partition by {keys}, r_key order by {total}, p_id) rank
   from {name}_pairs qualify rank <= {k}),
 {name} as materialized (select {keys}, r_key, zoneid, count(*)/sum(count(*)) over (partition by {keys}, r_key) p
   from {name}_near group by {keys}, r_key, zoneid)"""
@@ -253,6 +253,67 @@ bm{r} as materialized (select {key}, zone, m + v m from bm{r - 1} join bn{r}_{de
     return ",".join(steps)
 
 
+def forest_sql(name: str, trees: int, depth: int, weight: str = "1", drawn: bool = False, keys: str = "out_id") -> str:
+    """Trees grown level by level, in long form: ``{name}_splits{level}`` and ``{name}_each`` (keys, tree, r_key, zoneid, p) of the queries.
+
+    Reads ``{name}_rows`` (keys, r_key, label), ``{name}_asked`` (keys, r_key), ``{name}_x`` (keys, r_key, feature, v; of both) and
+    ``{name}_size`` (keys, n_features). ``weight`` may use tree and r_key.
+    """
+    node = f"{keys}, tree, node"
+    steps = [f"""
+{name}_0 as materialized (select {keys}, r_key, true learned, tree, label, {weight} w, 0 node, -1 stop from {name}_rows, range({trees}) t(tree) where {weight} > 0
+  union all select {keys}, r_key, false, tree, null, 1, 0, -1 from {name}_asked semi join {name}_size using ({keys}), range({trees}) t(tree))"""]
+    for i in range(depth):
+        count = f"select {keys}, n.tree, n.node, x.feature, x.v, label, sum(w)::bigint w from {name}_{i} n join {name}_x x using ({keys}, r_key)"
+        if drawn:
+            steps.append(f"""
+{name}_d{i} as materialized (select n_features, tree, node, feature from (select distinct n_features, tree, node from {name}_{i} join {name}_size using ({keys}) where learned and stop < 0),
+    lateral (select unnest(range(n_features)) feature)
+  qualify row_number() over (partition by n_features, tree, node order by md5('0:' || tree || ':{i}:' || node || ':' || feature)[1:8], feature) <= ceil(sqrt(n_features)))""")
+            count += f" join {name}_size using ({keys}) join {name}_d{i} d using (n_features, tree, node, feature)"
+        steps.append(f"""
+{name}_h{i} as materialized ({count} where learned and stop < 0 group by all),
+{name}_l{i} as (select *, coalesce(sum(w) over (partition by {node}, feature, label order by v rows between unbounded preceding and 1 preceding), 0) l,
+  sum(w) over (partition by {node}, feature, label) t from {name}_h{i}),
+{name}_v{i} as (select {node}, feature, v, sum(w) w, sum(2*l*w + w*w) ll, sum(t*w) tl from {name}_l{i} group by all),
+{name}_c{i} as (select {node}, feature, v, lead(v) over o nv, sum(w) over o wl, sum(ll) over o sl, sum(tl) over o x, sum(w) over a w, sum(ll) over a s from {name}_v{i}
+  window o as (partition by {node}, feature order by v rows between unbounded preceding and current row), a as (partition by {node}, feature)),
+{name}_splits{i} as materialized (select *, cast(sl as double)/wl + cast(s - 2*x + sl as double)/(w - wl) score from {name}_c{i} where nv is not null and s < w*w
+  qualify row_number() over (partition by {node} order by score desc, feature, v) = 1),
+{name}_{i + 1} as materialized (select n.* exclude (node, stop),
+    case when stop >= 0 or c.feature is null then n.node else 2*n.node + (2*coalesce(x.v, 0) > c.v + c.nv)::int end node,
+    case when stop < 0 and c.feature is null then {i} else stop end stop
+  from {name}_{i} n left join {name}_splits{i} c using ({node}) left join {name}_x x on x.feature = c.feature and x.r_key = n.r_key
+    and {' and '.join(f'x.{k} = n.{k}' for k in keys.split(', '))})""")
+    leaf = f"{keys}, tree, stop, node"
+    steps.append(f"""
+{name}_leaf as materialized (select {leaf}, label zoneid, sum(w)/sum(sum(w)) over (partition by {leaf}) p from {name}_{depth} where learned group by {leaf}, label),
+{name}_each as materialized (select {keys}, tree, r_key, l.zoneid, p from (select * from {name}_{depth} where not learned) n join {name}_leaf l using ({leaf}))""")
+    return ",".join(steps)
+
+
+def hashed(*parts: str) -> str:
+    return f"('0x' || md5({' || '.join(parts)})[1:8])::bigint"
+
+
+POISSON = "(case " + " ".join(
+    f"when {hashed(repr('0:'), 'tree', repr(':'), 'r_key')}/4294967296.0::double < {p} then {i}"
+    for i, p in enumerate((0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941, 0.99992))
+) + " else 7 end)"
+FOLD = f"({hashed(repr('fold:'), 'r_key')} % 5)"
+
+
+def long_features(src: str, columns, keys: str) -> str:
+    return " union all ".join(f"select {keys}, r_key, {i} feature, cast({c} as bigint) v from {src}" for i, c in enumerate(columns))
+
+
+def mean_of_trees(name: str, keys: str) -> str:
+    return (
+        f"select {keys}, r_key, zoneid, round(sum(p)/sum(sum(p)) over (partition by {keys}, r_key), 6) p from {name}_each"
+        f" group by {keys}, r_key, zoneid"
+    )
+
+
 SCORES = f"""
 picked as materialized (select model, fold, out_id, r_key, arg_max(zoneid, p*1000000-zoneid) predict_zone_id, max(p) p from probs group by all),
 preds as materialized (select k.*, z.center_lat predict_lat, z.center_lon predict_lon
@@ -601,7 +662,72 @@ def oracle_sql() -> dict[str, str]:
         "select fold, out_id, r_key, zone zoneid, round(e / sum(e) over (partition by fold, out_id, r_key), 6) p from last",
     )
     q["knn_probabilities"] = query(*models, "select fold, out_id, r_key, zoneid, p from probs where model='m0'")
-    q["fold_average"] = query(*models, "select fold, r_key, zoneid, round(avg(p), 6) p from probs where model<>'m3' group by all")
+    examples = (TRIPS, SPLIT, LZONES, EXAMPLES)
+    plain_rows = f"""
+tt as materialized (select *, row_number() over () from (select out_id, r_key, {calendar_columns()}, coalesce(start_zoneid, 0) start_zoneid, end_zoneid from snap)),
+t_rows as (select out_id, r_key, end_zoneid label from tt), t_asked as (select out_id, r_key from tt),
+t_x as materialized ({long_features('tt', _tree_features, 'out_id')}), t_size as (select distinct out_id, 4 n_features from tt)"""
+    tree = (TRIPS, ZONES, SNAP, plain_rows, forest_sql("t", 1, 4))
+    q["tree_probabilities"] = query(*tree, "select out_id, r_key, zoneid, p from t_each")
+    gains = " union all ".join(f"select feature, score - cast(s as double)/w gain from t_splits{i}" for i in range(4))
+    names = ", ".join(f"({i}, '{c}')" for c, i in _tree_features.items())
+    q["feature_importance"] = query(
+        *tree, f"gains as ({gains})",
+        f"select name, round(coalesce(sum(gain), 0)/(select sum(gain) from gains), 6) importance from (values {names}) n(feature, name) left join gains using (feature) group by name",
+    )
+    q["forest_probabilities"] = query(
+        *examples,
+        f"f_rows as (select fold, out_id, r_key, end_zoneid label from train), f_asked as (select fold, out_id, r_key from queries), f_size as (select distinct fold, out_id, {len(BASE)} n_features from train),"
+        f" f_all as (select fold, out_id, r_key, {', '.join(BASE)} from train union all select fold, out_id, r_key, {', '.join(BASE)} from queries),"
+        f" f_x as materialized ({long_features('f_all', BASE, 'fold, out_id')})",
+        forest_sql("f", 100, 4, POISSON, True, "fold, out_id"),
+        mean_of_trees("f", "fold, out_id"),
+    )
+    final_rows = (
+        "o_train as (select * from train where fold = 'final'), o_query as (select * from queries where fold = 'final'),"
+        f" o_rows as (select out_id, r_key, end_zoneid label from o_train), o_size as (select distinct out_id, {len(BASE)} n_features from o_train),"
+        f" o_all as (select out_id, r_key, {', '.join(BASE)} from o_train union select out_id, r_key, {', '.join(BASE)} from o_query),"
+        f" o_x as materialized ({long_features('o_all', BASE, 'out_id')})"
+    )
+    folds = forest_sql("o", 5, 4, f"(case when {FOLD} <> tree then 1 else 0 end)")
+    q["out_of_fold_probabilities"] = query(
+        *examples, final_rows, "o_asked as (select out_id, r_key from o_rows)", folds,
+        f"select out_id, cast(tree as integer) part, r_key, zoneid, round(p, 6) p from o_each where tree = {FOLD}",
+    )
+    q["fold_average"] = query(
+        *examples, final_rows, "o_asked as (select out_id, r_key from o_query)", folds,
+        "select out_id, r_key, zoneid, round(avg(p), 6) p from o_each group by all",
+    )
+    stack = (
+        *models,
+        "s_named as (select *, model || '#' || zoneid feature_name from probs),"
+        " s_places as materialized (select out_id, feature_name, row_number() over (partition by out_id order by feature_name) - 1 feature from (select distinct out_id, feature_name from s_named where fold = 'validate')),"
+        " s_size as (select out_id, count(*) n_features from s_places group by all),"
+        " s_rows as (select distinct out_id, r_key, k.end_zoneid label from s_named n join known k using (out_id, r_key) where fold = 'validate'),"
+        " s_asked as (select distinct out_id, r_key from s_named join s_places using (out_id, feature_name) where fold = 'final'),"
+        " s_all as (select out_id, r_key from s_rows union select out_id, r_key from s_asked),"
+        " s_x as materialized (select out_id, r_key, feature, coalesce(cast(round_even(p*100, 0) as bigint), 0) v from s_all join s_places using (out_id)"
+        "  left join s_named using (out_id, r_key, feature_name))",
+        forest_sql("s", 100, 4, POISSON, True),
+    )
+    q["stacked_probabilities"] = query(*stack, mean_of_trees("s", "out_id"))
+    q["stacked_position"] = query(
+        *stack, f"s_mean as ({mean_of_trees('s', 'out_id')})",
+        "s_best as (select out_id, r_key, zoneid from s_mean qualify row_number() over (partition by out_id, r_key order by p desc, zoneid) = 1)",
+        "s_first as (select out_id, zoneid, min((lat_e5, lon_e5)) a from dict group by all)",
+        "select r_key, b.out_id, zoneid predict_zone_id, a[1]/1e5 predict_lat, a[2]/1e5 predict_lon from s_best b left join s_first using (out_id, zoneid)",
+    )
+    q["knn_weighted"] = query(
+        *models,
+        "weighed as (select *, case when min(far) over (partition by fold, out_id, r_key) = 0 then (far = 0)::int::double else 1/sqrt(far) end w from k1_near)",
+        "select fold, out_id, r_key, zoneid, round(sum(w)/sum(sum(w)) over (partition by fold, out_id, r_key), 6) p from weighed group by fold, out_id, r_key, zoneid having sum(w) > 0",
+    )
+    q["runs_any_form"] = query(
+        *scores,
+        "firsts as (select out_id, zoneid, min((lat_e5, lon_e5)) a from dict group by all)",
+        "select model, r_key, predict_lat, predict_lon from preds where fold='final' and model='m1' union all"
+        " select model, k.r_key, a[1]/1e5, a[2]/1e5 from picked k join firsts z on k.out_id=z.out_id and k.predict_zone_id=z.zoneid where fold='final' and model='m0'",
+    )
     q["predicted_zone"] = query(*scores, "select model, fold, r_key, out_id, predict_zone_id, p from picked")
     q["predicted_position"] = query(*scores, "select model, fold, r_key, out_id, predict_zone_id, predict_lat, predict_lon from preds")
     q["two_pass_predictions"] = query(
@@ -657,7 +783,7 @@ def oracle_sql() -> dict[str, str]:
         "select b.r_key, coalesce(a.predict_lat, b.predict_lat) predict_lat, coalesce(a.predict_lon, b.predict_lon) predict_lon from b left join a using (r_key)",
     )
     q["concatenated_predictions"] = query(*scores, "select model, r_key, predict_lat, predict_lon from preds where fold='final' and model in ('m0','m1')")
-    q["stack_features"] = query(*models, "select fold, out_id, r_key, model || '#' || zoneid feature, p from probs where model in ('m0','m1')")
+    q["stack_features"] = query(*models, "select fold, out_id, r_key, model || '#' || zoneid feature, p from probs")
 
     # quality
     q["impute_missing"] = query(

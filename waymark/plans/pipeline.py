@@ -98,17 +98,17 @@ def final_predictions(predicted: DataFrame) -> DataFrame:
     return predicted.where("fold = 'final'").drop("fold")
 
 
-def forest_run(examples: Examples, trees: int = 50, depth: int = 4, fold: str | None = None, gp: str = "0") -> DataFrame:
+def forest_run(examples: Examples, trees: int = 100, depth: int = 4, fold: str | None = None, gp: str = "0") -> DataFrame:
     """Forest probabilities of both folds, or of one."""
     keys = ["fold", *CAR]
     train, queries = examples.train, examples.queries
     if fold:
         train, queries = train.where(F.col("fold") == fold), queries.where(F.col("fold") == fold)
-    rows, asked = forest.bin_features(train, queries, feature_columns(gp), keys)
+    rows, asked = forest.feature_rows(train, queries, feature_columns(gp), keys)
     return forest.forest_probabilities(materialise(rows, "forest-rows"), asked, trees, depth, keys=keys)
 
 
-def stacked_probabilities(probabilities: DataFrame, examples: Examples, trees: int = 50, depth: int = 4) -> DataFrame:
+def stacked_probabilities(probabilities: DataFrame, examples: Examples, trees: int = 100, depth: int = 4) -> DataFrame:
     """Second-level forest of each car: first-level probabilities are its features, in whole percent.
 
     It trains on the validate pass, where the true zone is known, and answers for the targets. Probabilities a model did not

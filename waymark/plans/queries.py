@@ -542,33 +542,47 @@ _TREE = ("weekday", "weekend", "hour_c", "start_zoneid")
 
 def _tree_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     known = enrich.with_calendar(_snapped(spark, sf)).withColumn("start_zoneid", F.coalesce("start_zoneid", F.lit(0)))
-    rows, asked = forest.bin_features(known, known, _TREE)
+    rows, asked = forest.feature_rows(known, known, _TREE)
     return materialise(rows, "tree-rows"), asked
 
 
 @query
 def tree_best_split(spark, sf):
     rows, _ = _tree_rows(spark, sf)
-    _, splits = forest.grow(rows, trees=1, depth=1, bootstrap=False, per_node=None)
+    _, splits = forest.grow(rows, trees=1, depth=1)
     return splits.select("out_id", F.col("feature").cast("bigint").alias("feature"), "twice_cut", "weight", F.round("gain", 6).alias("gain"))
 
 
 @query
 def tree_probabilities(spark, sf):
     rows, asked = _tree_rows(spark, sf)
-    return forest.forest_probabilities(rows, asked, trees=1, depth=4, bootstrap=False, per_node=None)
+    return forest.tree_shares(rows, asked, trees=1, depth=4).drop("tree")
 
 
 @query
 def feature_importance(spark, sf):
     rows, _ = _tree_rows(spark, sf)
-    _, splits = forest.grow(rows, trees=1, depth=4, bootstrap=False, per_node=None)
-    return forest.feature_importance(splits, _TREE)
+    _, splits = forest.grow(rows, trees=1, depth=4)
+    return forest.feature_importance(splits, _TREE).withColumn("importance", F.round("importance", 6))
+
+
+def _fold_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows and queries of the pass that learns from all labelled trips."""
+    examples = _examples(spark, sf)
+    final = [t.where("fold = 'final'") for t in (examples.train, examples.queries)]
+    rows, asked = forest.feature_rows(*final, features.feature_columns("0"))
+    return materialise(rows, "tree-rows"), asked
+
+
+@query
+def out_of_fold_probabilities(spark, sf):
+    """Every labelled trip from a tree that has learned from the other four fifths."""
+    return forest.cross_fitted(_fold_rows(spark, sf)[0], folds=5, depth=4).withColumn("p", F.round("p", 6))
 
 
 @query
 def forest_probabilities(spark, sf):
-    return pipeline.forest_run(_examples(spark, sf), trees=20, depth=4, fold="final")
+    return pipeline.forest_run(_examples(spark, sf), trees=100, depth=4).withColumn("p", F.round("p", 6))
 
 
 def _boosted(spark: SparkSession, sf: str, settings: boosting.Settings, stop_early: bool) -> DataFrame:
@@ -593,10 +607,18 @@ def knn_probabilities(spark, sf):
     return _runs(spark, sf, "m0")[1].select("fold", "out_id", "r_key", "zoneid", "p")
 
 
+@query
+def knn_weighted(spark, sf):
+    examples = _examples(spark, sf)
+    found = models.knn_probabilities(examples.train, examples.queries, 5, 2, keys=["fold", "out_id"], weights="distance")
+    return found.withColumn("p", F.round("p", 6))
+
+
 @query
 def fold_average(spark, sf):
-    _, probabilities = _runs(spark, sf, "m0", "m1", "m2")
-    mean = models.fold_average(probabilities, ["fold", "r_key", "zoneid"])
+    """Mean over the trees of five folds, for the targets."""
+    each = forest.fold_shares(*_fold_rows(spark, sf), folds=5, depth=4)
+    mean = models.fold_average(each, ["out_id", "r_key", "zoneid"])
     return mean.withColumn("p", F.round("p", 6))
 
 
@@ -739,9 +761,20 @@ def concatenated_predictions(spark, sf):
     return bundles.select_runs(final, "^m[01]$").select("model", "r_key", "predict_lat", "predict_lon")
 
 
+@query
+def runs_any_form(spark, sf):
+    """One run stored as positions and one as a column per zone."""
+    examples, probabilities, predicted = _predictions(spark, sf, "m0", "m1")
+    final = pipeline.final_predictions(predicted).where("model = 'm1'")
+    paths = {"m1": new_table_path(spark, "positions"), "m0": new_table_path(spark, "wide")}
+    final.select("r_key", "predict_lat", "predict_lon").write.parquet(paths["m1"])
+    bundles.save_wide(probabilities.where("fold = 'final' and model = 'm0'"), paths["m0"])
+    return bundles.read_any_form(spark, paths, examples.dictionary)
+
+
 @query
 def stack_features(spark, sf):
-    _, probabilities = _runs(spark, sf, "m0", "m1")
+    _, probabilities = _runs(spark, sf)
     validate = ensemble.stack_features(probabilities.where("fold = 'validate'")).withColumn("fold", F.lit("validate"))
     return validate.unionByName(
         ensemble.stack_features(probabilities.where("fold = 'final'")).withColumn("fold", F.lit("final"))
@@ -749,13 +782,13 @@ def stack_features(spark, sf):
 
 
 def _stacked(spark: SparkSession, sf: str) -> tuple[pipeline.Examples, DataFrame]:
-    examples, probabilities = _runs(spark, sf, "m0", "m1")
-    return examples, pipeline.stacked_probabilities(probabilities, examples, trees=10, depth=4)
+    examples, probabilities = _runs(spark, sf)
+    return examples, pipeline.stacked_probabilities(probabilities, examples, trees=100, depth=4)
 
 
 @query
 def stacked_probabilities(spark, sf):
-    return _stacked(spark, sf)[1]
+    return _stacked(spark, sf)[1].withColumn("p", F.round("p", 6))
 
 
 @query
