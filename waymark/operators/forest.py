@@ -12,7 +12,7 @@ feature to value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from waymark.session import materialise
 
 CAR = ("out_id",)
+#: The weight of a row in the tree of a number.
+Weight = Callable[[Column], Column]
 
 # Cumulative Poisson(1) probabilities of 0, 1, 2, ... copies of a row in a bootstrap sample.
 POISSON_1 = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941, 0.99992)
@@ -43,13 +45,15 @@ def _drawn(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
-def bootstrap(seed: int = 0) -> Column:
-    """How often a row is in the sample of ``tree``."""
-    draw = _drawn(seed, "tree", "r_key") / F.lit(float(1 << 32))
-    copies = F.lit(len(POISSON_1))
-    for i in range(len(POISSON_1) - 1, -1, -1):
-        copies = F.when(draw < POISSON_1[i], i).otherwise(copies)
-    return copies.cast("bigint")
+def bootstrap(seed: int = 0) -> Weight:
+    """How often a row is in the sample of a tree."""
+    steps = F.array(*[F.lit(p) for p in POISSON_1])
+
+    def copies(tree: Column) -> Column:
+        draw = _drawn(seed, tree, "r_key") / F.lit(float(1 << 32))
+        return F.size(F.filter(steps, lambda p: p <= draw))
+
+    return copies
 
 
 def fold_of(folds: int, r_key: str = "r_key") -> Column:
@@ -57,9 +61,9 @@ def fold_of(folds: int, r_key: str = "r_key") -> Column:
     return (_drawn(F.lit("fold"), r_key) % folds).cast("int")
 
 
-def other_folds(folds: int) -> Column:
+def other_folds(folds: int) -> Weight:
     """Tree number f learns from all rows but those of fold f."""
-    return (fold_of(folds) != F.col("tree")).cast("bigint")
+    return lambda tree: (fold_of(folds) != tree).cast("int")
 
 
 def _value(x: Column, feature: Column, sparse: bool) -> Column:
@@ -87,18 +91,22 @@ def _walk(rows: DataFrame, levels: int, sparse: bool) -> DataFrame:
     return rows
 
 
-def _per_tree(rows: DataFrame, model: DataFrame | None, keys: list[str], trees: int, levels: int, sparse: bool, extra: list[str]) -> DataFrame:
-    """Rows once per tree, at their node after ``levels`` levels."""
-    if model is not None:
-        rows = rows.join(model, keys, "left")
-    spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return _walk(spread, levels, sparse).select(*keys, "r_key", *extra, "x", "n_features", "tree", "node", "stop")
+def _sampled(train: DataFrame, trees: int, weight: Weight | None) -> DataFrame:
+    """Training rows with their weight in every tree, drawn once."""
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    weights = F.transform(numbers, (lambda tree: weight(tree).cast("int")) if weight else (lambda _: F.lit(1)))
+    return materialise(train.withColumn("weights", weights), "forest-sample")
 
 
-def _weighted(rows: DataFrame, weight: Column | None) -> DataFrame:
-    if weight is None:
-        return rows.withColumn("w", F.lit(1).cast("bigint"))
-    return rows.withColumn("w", weight).where("w > 0")
+def _per_tree(rows: DataFrame, model: DataFrame, keys: list[str], trees: int, levels: int, sparse: bool) -> DataFrame:
+    """Rows once per tree, at their node after ``levels`` levels; training rows only in trees where they have a weight ``w``."""
+    rows = rows.join(model, keys, "left")
+    if "weights" in rows.columns:
+        spread = rows.select("*", F.posexplode("weights").alias("tree", "w")).where("w > 0")
+    else:
+        spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    more = [c for c in ("label", "w") if c in spread.columns]
+    return _walk(spread, levels, sparse).select(*keys, "r_key", *more, "x", "n_features", "tree", "node", "stop")
 
 
 def _features(nodes: DataFrame, level: int, per_node: int, seed: int) -> DataFrame:
@@ -187,7 +195,7 @@ def grow(
     trees: int,
     depth: int,
     seed: int = 0,
-    weight: Column | None = None,
+    weight: Weight | None = None,
     per_node: int | None = None,
     keys: Sequence[str] = CAR,
     sparse: bool = False,
@@ -200,6 +208,8 @@ def grow(
     keys = list(keys)
     model = materialise(train.groupBy(*keys).agg(F.max("n_features").alias("n_features")), "forest-cars")
     sizes, every, splits = model, None, None
+    if "weights" not in train.columns:
+        train = _sampled(train, trees, weight)
     for level in range(depth):
         features = None
         if per_node is not None:
@@ -210,7 +220,7 @@ def grow(
                 below = F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node")
                 nodes = splits.join(sizes, keys).select("n_features", "tree", below).distinct()
             features = _features(nodes, level, per_node, seed)
-        open_ = _weighted(_per_tree(train, model.drop("n_features"), keys, trees, level, sparse, ["label"]), weight).where("stop < 0")
+        open_ = _per_tree(train, model.drop("n_features"), keys, trees, level, sparse).where("stop < 0")
         found = best_splits(split_counts(open_, features, keys, sparse), keys)
         splits = materialise(found.withColumn("level", F.lit(level)), "forest-splits")
         every = splits if every is None else every.unionByName(splits)
@@ -224,22 +234,21 @@ def tree_shares(
     trees: int = 50,
     depth: int = 4,
     seed: int = 0,
-    weight: Column | None = None,
+    weight: Weight | None = None,
     per_node: int | None = None,
     keys: Sequence[str] = CAR,
     sparse: bool = False,
 ) -> DataFrame:
     """``keys, tree, r_key, zoneid, p``: the zone shares in the leaf that a query falls into, tree by tree."""
     keys = list(keys)
+    train = _sampled(train, trees, weight)
     model, _ = grow(train, trees, depth, seed, weight, per_node, keys, sparse)
     model = model.drop("n_features")
     leaf = [*keys, "tree", "stop", "node"]
-    weights = (
-        _weighted(_per_tree(train, model, keys, trees, depth, sparse, ["label"]), weight).groupBy(*leaf, "label").agg(F.sum("w").alias("w"))
-    )
+    weights = _per_tree(train, model, keys, trees, depth, sparse).groupBy(*leaf, "label").agg(F.sum("w").alias("w"))
     totals = weights.groupBy(*leaf).agg(F.sum("w").alias("_all"))
     shares = materialise(weights.join(totals, leaf).select(*leaf, F.col("label").alias("zoneid"), (F.col("w") / F.col("_all")).alias("p")), "forest-leaves")
-    reached = _per_tree(queries, model, keys, trees, depth, sparse, []).drop("x", "n_features")
+    reached = _per_tree(queries, model, keys, trees, depth, sparse).drop("x", "n_features")
     return reached.join(shares, leaf).select(*keys, "tree", "r_key", "zoneid", "p")
 
 

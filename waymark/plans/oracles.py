@@ -309,7 +309,7 @@ def long_features(src: str, columns, keys: str) -> str:
 
 def mean_of_trees(name: str, keys: str) -> str:
     return (
-        f"select {keys}, r_key, zoneid, round(sum(p)/sum(sum(p)) over (partition by {keys}, r_key), 6) p from {name}_each"
+        f"select {keys}, r_key, zoneid, round(sum(p)/sum(sum(p)) over (partition by {keys}, r_key), 9) p from {name}_each"
         f" group by {keys}, r_key, zoneid"
     )
 

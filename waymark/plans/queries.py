@@ -582,7 +582,7 @@ def out_of_fold_probabilities(spark, sf):
 
 @query
 def forest_probabilities(spark, sf):
-    return pipeline.forest_run(_examples(spark, sf), trees=100, depth=4).withColumn("p", F.round("p", 6))
+    return pipeline.forest_run(_examples(spark, sf), trees=100, depth=4).withColumn("p", F.round("p", 9))
 
 
 def _boosted(spark: SparkSession, sf: str, settings: boosting.Settings, stop_early: bool) -> DataFrame:
@@ -788,7 +788,7 @@ def _stacked(spark: SparkSession, sf: str) -> tuple[pipeline.Examples, DataFrame
 
 @query
 def stacked_probabilities(spark, sf):
-    return _stacked(spark, sf)[1].withColumn("p", F.round("p", 6))
+    return _stacked(spark, sf)[1].withColumn("p", F.round("p", 9))
 
 
 @query
