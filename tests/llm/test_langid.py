@@ -1,5 +1,10 @@
-import numpy as np
+import re
 import zlib
+from collections import Counter
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -39,12 +44,45 @@ def test_hard_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
-def test_filters_have_every_learned_gram_and_pieces_add_up(spark, monkeypatch):
+def whole_grams(text):
+    """n-grams of the folded text, by slicing."""
+    folded = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip(" ") + " "
+    folded = " " if not folded.strip(" ") else folded
+    return Counter(folded[i : i + n] for n in langid.ORDERS for i in range(len(folded) - n + 1))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab Ä1\n中", max_size=30), st.integers(1, 12))
+def test_pieces_of_any_size_hold_the_same_grams(text, size):
+    found = Counter()
+    for points, lead in langid._pieces(text, size):
+        for n in langid.ORDERS:
+            own = points[max(0, lead - n + 1) :]
+            assert len(langid._grams(points, n, lead)) == max(0, len(own) - n + 1)
+            found.update("".join(map(chr, own[i : i + n])) for i in range(len(own) - n + 1))
+    assert found == whole_grams(text)
+
+
+def test_a_word_over_a_border_counts_whole(spark, monkeypatch):
+    filters = langid.learn(learned(spark))
+    text = "x" * 1_500_000
+    total, _ = filters.counts([text])
+    assert total[0] == sum(whole_grams(text).values())
+    monkeypatch.setattr(langid, "PIECE", 7)
+    text = "the cat sat on the mat with another cat " * 20
+    small = filters.counts([text, "der hund"])
+    monkeypatch.setattr(langid, "PIECE", 1 << 20)
+    large = filters.counts([text, "der hund"])
+    assert all((a == b).all() for a, b in zip(small, large))
+
+
+def test_filters_have_every_learned_gram(spark):
     filters = langid.learn(learned(spark))
     text = "the cat sat on the mat with another cat"
     total, hits = filters.counts([text, ""])
     assert hits[0, filters.languages.index("en")] == total[0] > 0
-    h = np.concatenate([langid._grams(langid._folded(text), n) for n in langid.ORDERS])
+    points, _ = next(langid._pieces(text, 1000))
+    h = np.concatenate([langid._grams(points, n) for n in langid.ORDERS])
     by_gram = [bin(int(m)) for m in next(filters.masks(h))]
     assert sum(b[-1 - filters.languages.index("en")] == "1" for b in by_gram) == total[0]
 

@@ -6,8 +6,8 @@ gives the languages that have it. A text's n-grams are counted for every languag
 corrected for the filters' false positives, and the largest decides.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; ties go to the language with more learned
-documents, then the smaller name; without learned languages every text is ``und``; rows are handled one by one; an
-empty table gives an empty table; input columns named like an output column are replaced.
+documents, then the smaller name; without learned languages every text is ``und``; rows are handled one by one; texts of any
+length are read whole; an empty table gives an empty table; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -34,25 +34,36 @@ LEAST_DOCUMENTS = 3
 DOCUMENTS_A_STEP = 50
 SLOT_BITS = 20
 PROBES = 3
-#: Letters worked on at once in a Python worker; longer texts are counted piece by piece.
-PIECE = 1 << 20
+#: Letters worked on at once in a Python worker; longer texts are counted piece by piece, without losing what lies across.
+PIECE = 1 << 18
+#: Rows worked on at once in a Python worker.
+ROWS = 512
 UND = "und"
 
 _letters: list[np.ndarray] = []
 
 
-def _folded(text: str) -> np.ndarray:
-    """Code points of the lower-cased text with every run of other characters as one space, and a space at both ends."""
+def _pieces(text: str, size: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Code points of the lower-cased text with every run of other characters as one space, and a space at both ends.
+
+    They come in pieces, each with so many of the last points of the piece before in front, at most those that a longest n-gram over the
+    border needs. So every n-gram is in one piece as a whole, whatever the size.
+    """
     if not _letters:
         _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(_letters[0][points], points, np.uint32(32))
-    points = np.concatenate([[32], points, [32]]).astype(np.uint32)
-    return points[np.append(True, (points[1:] != 32) | (points[:-1] != 32))]
-
-
-def _grams(points: np.ndarray, order: int) -> np.ndarray:
-    """64-bit hashes of all n-grams of one order."""
+    text, tail, lead = text.lower(), np.array([32], np.uint32), 0
+    for start in range(0, max(1, len(text)), size):
+        points = np.frombuffer(text[start : start + size].encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.concatenate([tail, np.where(_letters[0][points], points, np.uint32(32)), [32] if start + size >= len(text) else []]).astype(np.uint32)
+        points = points[np.append(True, (points[1:] != 32) | (points[:-1] != 32))]
+        yield points, lead
+        tail = points[-(max(ORDERS) - 1) :]
+        lead = len(tail)
+
+
+def _grams(points: np.ndarray, order: int, lead: int = 0) -> np.ndarray:
+    """64-bit hashes of all n-grams of one order that end after the first ``lead`` points."""
+    points = points[max(0, lead - order + 1) :]
     n = len(points) - order + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -84,24 +95,24 @@ class Filters:
         """n-grams of each text, and how many of them each language's filter has."""
         total = np.zeros(len(texts), np.int64)
         hits = np.zeros((len(texts), len(self.languages)), np.int64)
-        group: list[tuple[int, np.ndarray]] = []
+        group: list[tuple[int, np.ndarray, int]] = []
 
         def count() -> None:
             for order in ORDERS:
-                hashes = [_grams(p, order) for _, p in group]
+                hashes = [_grams(p, order, lead) for _, p, lead in group]
                 ends = np.cumsum([len(h) for h in hashes])
                 for plane, mask in enumerate(self.masks(np.concatenate(hashes))):
                     for bit in range(min(64, len(self.languages) - 64 * plane)):
                         so_far = np.append(0, np.cumsum((mask >> np.uint64(bit)) & np.uint64(1), dtype=np.int64))[np.append(0, ends)]
-                        np.add.at(hits[:, 64 * plane + bit], [i for i, _ in group], np.diff(so_far))
-                np.add.at(total, [i for i, _ in group], np.diff(np.append(0, ends)))
+                        np.add.at(hits[:, 64 * plane + bit], [i for i, *_ in group], np.diff(so_far))
+                np.add.at(total, [i for i, *_ in group], np.diff(np.append(0, ends)))
             group.clear()
 
         held = 0
         for i, text in enumerate(texts):
-            for start in range(0, max(1, len(text)), PIECE):
-                group.append((i, _folded(text[start : start + PIECE])))
-                held += len(group[-1][1])
+            for points, lead in _pieces(text, PIECE):
+                group.append((i, points, lead))
+                held += len(points)
                 if held >= PIECE:
                     count()
                     held = 0
@@ -116,6 +127,12 @@ def _in_fold(doc_id: Column | str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def learn(docs: DataFrame) -> Filters:
     """Filters from all rows with a language among ``docs`` (doc_id, text, lang).
 
@@ -129,14 +146,13 @@ def learn(docs: DataFrame) -> Filters:
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("docs", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found: dict[str, Counter] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 seen: set[int] = set()
-                for start in range(0, len(text), PIECE):
-                    points = _folded(text[start : start + PIECE])
+                for points, lead in _pieces(text, PIECE):
                     for order in ORDERS:
-                        seen.update(np.unique(_grams(points, order)).view(np.int64).tolist())
+                        seen.update(np.unique(_grams(points, order, lead)).view(np.int64).tolist())
                 found.setdefault(lang, Counter()).update(seen)
             for lang, grams in found.items():
                 yield pa.RecordBatch.from_arrays(
@@ -181,7 +197,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sent.value
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [t or "" for t in batch.column("_langid_text").to_pylist()]
             total, hits = found.counts(texts)
             lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
