@@ -55,10 +55,21 @@ def test_position_does_not_depend_on_what_counts_as_hot(spark, hot, monkeypatch)
 
 def test_every_node_looks_at_as_many_features_as_asked(spark):
     rows = spark.createDataFrame([(1, 0, n, [0] * 100, 100, 1, 1) for n in range(20)], "out_id long, tree int, node int, x array<long>, n_features int, label long, w long")
-    counts = forest.split_counts(rows, 0, 10, 5, ["out_id"], False)
+    drawn = forest._features(rows.select("n_features", "tree", "node"), 0, 10, 5)
+    counts = forest.split_counts(rows, drawn, ["out_id"], False)
     assert {r.n for r in counts.groupBy("node").agg(F.countDistinct("feature").alias("n")).collect()} == {10}
 
 
+def test_a_trip_is_scored_by_a_tree_that_has_not_seen_it(spark):
+    """Every trip of the car ends in a zone of its own, so a tree that has learned from a trip gives that zone a share."""
+    rows = spark.createDataFrame([(1, i, 100 + i, [i], 1) for i in range(40)], "out_id long, r_key long, label long, x array<long>, n_features int")
+    found = forest.cross_fitted(rows, folds=4, depth=2).collect()
+    assert {r.r_key for r in found} == set(range(40)) and all(r.zoneid != 100 + r.r_key for r in found)
+    assert len({r.part for r in found}) == 4
+    shares = forest.fold_shares(rows, rows.drop("label"), folds=4, depth=2).groupBy("part", "r_key").agg(F.sum("p").alias("p")).collect()
+    assert len(shares) == 160 and all(abs(r.p - 1) < 1e-9 for r in shares)
+
+
 def test_impute_and_exceptions(spark):
     rows = spark.createDataFrame([(1, 2.0, "a", True), (2, None, None, True), (3, float("inf"), "b", False), (4, 4.0, "a", True)], "i long, v double, t string, tr boolean")
     filled = {r.i: (r.v, r.t) for r in quality.impute_missing(rows, F.col("tr"), ["v"], ["t"]).collect()}
