@@ -1,8 +1,8 @@
 """Random forests of all cars at once, grown level by level.
 
 Trees of all cars grow together: each level is one counting job. A training row has a weight per tree (a hashed Poisson draw, or what else
-the caller asks for), walks the splits found so far, and adds its weight to ``(car, tree, node, feature, value, zone)`` counts,
-which Spark combines before the shuffle. Split search then works on these counts only. The splits of a car are four short
+the caller asks for) and carries its node in each, two short arrays; it adds its weight to ``(car, tree, node, feature, value, zone)``
+counts, which Spark combines before the shuffle, and then moves by the splits of that level alone. Split search then works on these counts only. The splits of a car are four short
 arrays (at most ``trees * 2**level`` entries each), so rows meet them in one join per level. Cuts lie between any two values
 that occur, however many there are. The features of a node are drawn once for all cars with as many features, not row by row.
 
@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.session import materialise
+from waymark.session import discard, materialise
 
 CAR = ("out_id",)
 #: The weight of a row in the tree of a number.
@@ -70,43 +70,43 @@ def _value(x: Column, feature: Column, sparse: bool) -> Column:
     return F.coalesce(x[feature], F.lit(0)).cast("bigint") if sparse else F.get(x, feature)
 
 
-def _walk(rows: DataFrame, levels: int, sparse: bool) -> DataFrame:
-    """Node of each row after ``levels`` levels: ``node`` inside its level, ``leaf`` once it has stopped (level, node)."""
-    rows = rows.withColumn("node", F.lit(0)).withColumn("stop", F.lit(-1))
-    for level in range(levels):
-        rows = rows.withColumn("_s", F.get(F.col(f"split{level}"), F.col("tree") * 2**level + F.col("node")))
-        open_ = F.col("stop") < 0
-        rows = (
-            rows.withColumn("stop", F.when(open_ & F.col("_s").isNull(), level).otherwise(F.col("stop")))
-            .withColumn(
-                "node",
-                F.when(
-                    F.col("stop") < 0,
-                    F.col("node") * 2
-                    + (2 * _value(F.col("x"), F.col("_s.feature"), sparse) > F.col("_s.twice_cut")).cast("int"),
-                ).otherwise(F.col("node")),
-            )
-            .drop("_s")
-        )
-    return rows
-
-
-def _sampled(train: DataFrame, trees: int, weight: Weight | None) -> DataFrame:
-    """Training rows with their weight in every tree, drawn once."""
+def _moved(nodes: Column, split: str, level: int, sparse: bool) -> Column:
+    """Where rows are after ``level`` has been split. Nodes count from 1, the children of n are 2n and 2n + 1; a row that has stopped keeps
+    the number of a higher level. A level names ``nodes`` once, so that the levels of a tree can be nested without growing."""
+    first = 2**level
+
+    def step(node: Column, tree: Column) -> Column:
+        cut = F.get(F.col(split), tree * first + node - first)
+        right = 2 * _value(F.col("x"), cut.feature, sparse) > cut.twice_cut
+        return F.when((node < first) | cut.isNull(), node).otherwise(2 * node + right.cast("int"))
+
+    return F.transform(nodes, step)
+
+
+def _start(trees: int) -> Column:
+    return F.array_repeat(F.lit(1), trees)
+
+
+def _planted(train: DataFrame, trees: int, weight: Weight | None) -> DataFrame:
+    """Training rows with their weight in every tree, drawn once, and with their node in every tree: the first."""
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     weights = F.transform(numbers, (lambda tree: weight(tree).cast("int")) if weight else (lambda _: F.lit(1)))
-    return materialise(train.withColumn("weights", weights), "forest-sample")
+    return materialise(train.withColumn("weights", weights).withColumn("nodes", _start(trees)), "forest-rows")
 
 
-def _per_tree(rows: DataFrame, model: DataFrame, keys: list[str], trees: int, levels: int, sparse: bool) -> DataFrame:
-    """Rows once per tree, at their node after ``levels`` levels; training rows only in trees where they have a weight ``w``."""
-    rows = rows.join(model, keys, "left")
-    if "weights" in rows.columns:
-        spread = rows.select("*", F.posexplode("weights").alias("tree", "w")).where("w > 0")
-    else:
-        spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    more = [c for c in ("label", "w") if c in spread.columns]
-    return _walk(spread, levels, sparse).select(*keys, "r_key", *more, "x", "n_features", "tree", "node", "stop")
+def _each_tree(planted: DataFrame) -> DataFrame:
+    """Training rows once for each tree in which they have a weight ``w``, at their ``node``."""
+    own = [c for c in planted.columns if c not in ("weights", "nodes")]
+    spread = planted.select(*own, F.posexplode(F.arrays_zip("weights", "nodes")).alias("tree", "t"))
+    return spread.select(*own, "tree", F.col("t.weights").alias("w"), F.col("t.nodes").alias("node")).where("w > 0")
+
+
+def _reached(queries: DataFrame, model: DataFrame, keys: list[str], trees: int, depth: int, sparse: bool) -> DataFrame:
+    """Queries once per tree, at the ``node`` where they end."""
+    nodes = _start(trees)
+    for level in range(depth):
+        nodes = _moved(nodes, f"split{level}", level, sparse)
+    return queries.join(model, keys, "left").select(*keys, "r_key", F.posexplode(nodes).alias("tree", "node"))
 
 
 def _features(nodes: DataFrame, level: int, per_node: int, seed: int) -> DataFrame:
@@ -140,6 +140,7 @@ def best_splits(counts: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
     Pure nodes have no cut. Equal cuts: lower feature, then lower value.
     """
     node = [*keys, "tree", "node", "feature"]
+    counts = counts.repartition(*node)  # all that follows but the last step is divided like this
     zone = Window.partitionBy(*node, "label")
     before = F.coalesce(F.sum("w").over(zone.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     grown = counts.withColumn("_l", before).withColumn("_t", F.sum("w").over(zone))
@@ -190,6 +191,32 @@ def _as_arrays(splits: DataFrame, level: int, trees: int, keys: list[str]) -> Da
     )
 
 
+def _grown(planted: DataFrame, trees: int, depth: int, seed: int, per_node: int | None, keys: list[str], sparse: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The model, all splits, and the training rows at the nodes where they end. Each level moves the rows by its own splits only."""
+    model = materialise(planted.groupBy(*keys).agg(F.max("n_features").alias("n_features")), "forest-cars")
+    sizes, every, splits = model, None, None
+    for level in range(depth):
+        features = None
+        if per_node is not None:
+            tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+            if splits is None:
+                nodes = sizes.select("n_features").distinct().select("n_features", tree, F.lit(0).alias("node"))
+            else:
+                below = F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node")
+                nodes = splits.join(sizes, keys).select("n_features", "tree", below).distinct()
+            features = _features(nodes, level, per_node, seed)
+        open_ = _each_tree(planted).withColumn("node", F.col("node") - 2**level).where("node >= 0")
+        found = best_splits(split_counts(open_, features, keys, sparse), keys)
+        splits = materialise(found.withColumn("level", F.lit(level)), "forest-splits")
+        every = splits if every is None else every.unionByName(splits)
+        arrays = materialise(_as_arrays(splits, level, trees, keys), "forest-arrays")
+        model = model.join(arrays, keys, "left")
+        moved = planted.join(arrays, keys, "left").withColumn("nodes", _moved(F.col("nodes"), f"split{level}", level, sparse))
+        before, planted = planted, materialise(moved.drop(f"split{level}"), "forest-rows")
+        discard(before, *([features] if features else []))
+    return materialise(model, "forest-model"), every, planted
+
+
 def grow(
     train: DataFrame,
     trees: int,
@@ -205,27 +232,9 @@ def grow(
     ``weight`` is a row's weight in ``tree`` (None: 1 in all). ``per_node`` features are tried at each node: 0 means the square root of
     their number, ``None`` all of them.
     """
-    keys = list(keys)
-    model = materialise(train.groupBy(*keys).agg(F.max("n_features").alias("n_features")), "forest-cars")
-    sizes, every, splits = model, None, None
-    if "weights" not in train.columns:
-        train = _sampled(train, trees, weight)
-    for level in range(depth):
-        features = None
-        if per_node is not None:
-            tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-            if splits is None:
-                nodes = sizes.select("n_features").distinct().select("n_features", tree, F.lit(0).alias("node"))
-            else:
-                below = F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node")
-                nodes = splits.join(sizes, keys).select("n_features", "tree", below).distinct()
-            features = _features(nodes, level, per_node, seed)
-        open_ = _per_tree(train, model.drop("n_features"), keys, trees, level, sparse).where("stop < 0")
-        found = best_splits(split_counts(open_, features, keys, sparse), keys)
-        splits = materialise(found.withColumn("level", F.lit(level)), "forest-splits")
-        every = splits if every is None else every.unionByName(splits)
-        model = materialise(model.join(_as_arrays(splits, level, trees, keys), keys, "left"), "forest-model")
-    return model, every
+    model, splits, planted = _grown(_planted(train, trees, weight), trees, depth, seed, per_node, list(keys), sparse)
+    discard(planted)
+    return model, splits
 
 
 def tree_shares(
@@ -241,14 +250,14 @@ def tree_shares(
 ) -> DataFrame:
     """``keys, tree, r_key, zoneid, p``: the zone shares in the leaf that a query falls into, tree by tree."""
     keys = list(keys)
-    train = _sampled(train, trees, weight)
-    model, _ = grow(train, trees, depth, seed, weight, per_node, keys, sparse)
-    model = model.drop("n_features")
-    leaf = [*keys, "tree", "stop", "node"]
-    weights = _per_tree(train, model, keys, trees, depth, sparse).groupBy(*leaf, "label").agg(F.sum("w").alias("w"))
+    model, _, planted = _grown(_planted(train, trees, weight), trees, depth, seed, per_node, keys, sparse)
+    leaf = [*keys, "tree", "node"]
+    weights = _each_tree(planted).groupBy(*leaf, "label").agg(F.sum("w").alias("w"))
     totals = weights.groupBy(*leaf).agg(F.sum("w").alias("_all"))
-    shares = materialise(weights.join(totals, leaf).select(*leaf, F.col("label").alias("zoneid"), (F.col("w") / F.col("_all")).alias("p")), "forest-leaves")
-    reached = _per_tree(queries, model, keys, trees, depth, sparse).drop("x", "n_features")
+    shares = weights.join(totals, leaf).select(*leaf, F.col("label").alias("zoneid"), (F.col("w") / F.col("_all")).alias("p"))
+    shares = materialise(shares, "forest-leaves")
+    discard(planted)
+    reached = _reached(queries, model.drop("n_features"), keys, trees, depth, sparse)
     return reached.join(shares, leaf).select(*keys, "tree", "r_key", "zoneid", "p")
 
 
