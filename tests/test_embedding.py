@@ -20,6 +20,16 @@ def test_embedding_equals_plain_decomposition(spark, sf):
         assert ours[np.abs(ours).argmax()] > 0
         if min(abs(s[i] - x) for j, x in enumerate(s) if j != i) > 1e-3 * s[0]:  # vectors of equal singular values may turn
             assert abs(abs(ours @ u[:, i]) - 1) < 1e-6
+    u = np.array([[found[c][i] for c in cells] for i in range(len(names))])
+    assert np.abs(u @ u.T - np.eye(len(names))).max() < 1e-9
+
+
+def test_few_cells_nulls_and_empty_tables(spark):
+    rows = [("a", "in_0", 3), ("a", "out_1", 4), (None, "in_0", 9)]
+    traffic = spark.createDataFrame(rows, "cell string, hour_wk string, trips bigint")
+    (only,) = features.geo_embedding(traffic, 2).collect()
+    assert (only.cell, only.geo_rd_c2_1) == ("a", 0.0) and abs(only.geo_rd_c2_0 - 1) < 1e-12
+    assert features.geo_embedding(traffic.limit(0), 2).count() == 0
 
 
 def test_every_trip_gets_the_embedding_of_its_cell(spark, sf):

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark import skew
 from waymark.functions import geo
 from waymark.operators import enrich
 from waymark.session import materialise
@@ -84,34 +83,53 @@ def geo_hour_matrix(traffic: DataFrame) -> DataFrame:
     return traffic.groupBy("cell").pivot("hour_wk", HOURS).agg(F.first("trips")).fillna(0)
 
 
-def geo_embedding(matrix: DataFrame, components: int) -> DataFrame:
-    """Left singular vectors of the cell by hour matrix as an embedding of cells, ``geo_rd_c{n}_{i}``.
+def geo_hour_gram(traffic: DataFrame) -> DataFrame:
+    """``hour_a, hour_b, product``: for every two hours (a not after b, as text) the sum over cells of the products of their trips.
 
-    The rows stay distributed; only the 336 x 336 matrix of column products is decomposed in one place. Each vector's
-    sign is chosen so that its entry of greatest magnitude is positive.
+    A cell has at most 336 hours; their products are combined inside input partitions, so at most 56,616 rows of each are shuffled.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    spark = matrix.sparkSession
-    codes = skew.sorted_codes(matrix, "cell")
-    table = materialise(matrix.join(codes, "cell"), "geo-matrix")
-    rows = table.select("code", F.array(*[F.col(h).cast("double") for h in HOURS]).alias("v")).rdd.map(
-        lambda r: IndexedRow(r.code, Vectors.dense(r.v))
-    )
-    left = IndexedRowMatrix(rows).computeSVD(components, computeU=True).U
-    vectors = spark.createDataFrame(
-        left.rows.map(lambda r: (r.index, [float(x) for x in r.vector])), "code bigint, u array<double>"
-    )
-    vectors = materialise(vectors, "geo-vectors")
+    entry = F.struct("hour_wk", "trips")
+    cells = traffic.where("cell is not null").groupBy("cell").agg(F.collect_list(entry).alias("hours"))
+    one = cells.select("hours", F.explode("hours").alias("a"))
+    two = one.select("a", F.explode(F.filter("hours", lambda b: b.hour_wk >= F.col("a.hour_wk"))).alias("b"))
+    product = F.sum(F.col("a.trips") * F.col("b.trips")).alias("product")
+    return two.groupBy(F.col("a.hour_wk").alias("hour_a"), F.col("b.hour_wk").alias("hour_b")).agg(product)
+
+
+def geo_embedding(traffic: DataFrame, components: int) -> DataFrame:
+    """Left singular vectors of the cell by hour table of trips as an embedding of cells, ``geo_rd_c{n}_{i}``.
+
+    The table stays long and distributed. The driver sees the exact products of its 336 columns, takes their eigenvectors and sends them
+    back as one number per hour and component; cells become sums of these. What rounding leaves between the vectors is taken
+    out by the Cholesky factor of their own products. The sign of a vector makes its entry of greatest magnitude positive (equal ones: that of
+    the first cell). Components beyond the rank are 0; rows with a null cell play no part.
+    """
+    import numpy as np
+
+    spark = traffic.sparkSession
     names = [f"geo_rd_c{components}_{i}" for i in range(components)]
-    top = vectors.agg(
-        F.array(*[F.max_by(F.col("u")[i], F.struct(F.abs(F.col("u")[i]), -F.col("code"))) for i in range(components)])
-    ).scalar()
-    signed = vectors.withColumn("_top", top).select(
-        "code", *[(F.col("u")[i] * F.signum(F.col("_top")[i])).alias(name) for i, name in enumerate(names)]
-    )
-    return table.select("cell", "code").join(signed, "code").drop("code")
+    table = materialise(traffic.where("cell is not null").select("cell", "hour_wk", "trips"), "geo-traffic")
+    place = {h: i for i, h in enumerate(HOURS)}
+    gram = np.zeros((len(HOURS), len(HOURS)))
+    for r in geo_hour_gram(table).collect():  # at most 56,616 rows, however many cells there are
+        i, j = place[r.hour_a], place[r.hour_b]
+        gram[i, j] = gram[j, i] = r.product
+    squares, vectors = np.linalg.eigh(gram)
+    squares, vectors = squares[::-1], vectors[:, ::-1]
+    rank = min(components, int((squares > squares[0] * 1e-12).sum()))
+    loads = vectors[:, :rank] / np.sqrt(squares[:rank])
+    if rank == 0:
+        return table.select("cell").distinct().select("cell", *[F.lit(0.0).alias(n) for n in names])
+    loads = spark.createDataFrame([(h, [float(x) for x in loads[i]]) for h, i in place.items()], "hour_wk string, load array<double>")
+    sums = [F.sum(F.col("trips") * F.col("load")[i]).alias(f"y{i}") for i in range(rank)]
+    placed = materialise(table.join(F.broadcast(loads), "hour_wk").groupBy("cell").agg(*sums), "geo-placed")
+    products = placed.agg(*[F.sum(F.col(f"y{i}") * F.col(f"y{j}")) for i in range(rank) for j in range(rank)]).first()
+    turn = np.linalg.inv(np.linalg.cholesky(np.array(products, float).reshape(rank, rank))).T
+    mixed = [sum((F.col(f"y{i}") * float(turn[i, k]) for i in range(k + 1)), F.lit(0.0)).alias(f"u{k}") for k in range(rank)]
+    turned = placed.select("cell", *mixed)
+    top = turned.agg(*[F.min_by(f"u{k}", F.struct(-F.abs(F.col(f"u{k}")), "cell")) for k in range(rank)]).first()
+    signed = [(F.col(f"u{k}") * (-1.0 if top[k] < 0 else 1.0)).alias(names[k]) for k in range(rank)]
+    return turned.select("cell", *signed, *[F.lit(0.0).alias(n) for n in names[rank:]])
 
 
 def attach_embedding(trips: DataFrame, embedding: DataFrame, precision: int = 5) -> DataFrame:

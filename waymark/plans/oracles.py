@@ -637,6 +637,10 @@ def oracle_sql() -> dict[str, str]:
         TRIPS, SPLIT, *traffic,
         "select cell, " + ", ".join(f"count(*) filter (hour_wk='{w}_{h}') {w}_{h}" for w in ("in", "out") for h in range(168)) + " from pts group by cell",
     )
+    q["geo_hour_gram"] = query(
+        TRIPS, SPLIT, *traffic, "hours as (select cell, hour_wk, count(*) n from pts group by all)",
+        "select a.hour_wk hour_a, b.hour_wk hour_b, cast(sum(a.n*b.n) as bigint) product from hours a join hours b on a.cell = b.cell and a.hour_wk <= b.hour_wk group by all",
+    )
     cell = lambda side: (f"(({side}_lon_e5+18000000)*{2**15})//36000000", f"(({side}_lat_e5+9000000)*{2**15})//18000000")
     lx, ly = cell("start")
     q["train_near_targets"] = query(

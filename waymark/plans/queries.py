@@ -512,8 +512,13 @@ def geo_hour_matrix(spark, sf):
     return features.geo_hour_matrix(features.geo_hour_traffic(*_split(spark, sf)))
 
 
+@query
+def geo_hour_gram(spark, sf):
+    return features.geo_hour_gram(features.geo_hour_traffic(*_split(spark, sf)))
+
+
 def _embedding(spark: SparkSession, sf: str, components: int = 3) -> DataFrame:
-    return features.geo_embedding(features.geo_hour_matrix(features.geo_hour_traffic(*_split(spark, sf))), components)
+    return features.geo_embedding(features.geo_hour_traffic(*_split(spark, sf)), components)
 
 
 @query
