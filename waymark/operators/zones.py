@@ -507,11 +507,11 @@ def zones_knn_reduced(dictionary: DataFrame, threshold: int = 2, least_zones: in
     )
 
 
-def zones_kmeans_reduced(dictionary: DataFrame, centers: int = 5) -> DataFrame:
+def zones_kmeans_reduced(dictionary: DataFrame, centers: int = 5, most_rounds: int = 300) -> DataFrame:
     """In cars with at least ``centers`` zones, cluster the addresses anew around that many centres.
 
     Starts from the centres of the busiest zones; assigns each address to its nearest centre (by degrees) and averages, until
-    no centre moves. Each car's centres are one short array; addresses are never gathered.
+    no centre moves or ``most_rounds`` are over. Each car's centres are one short array; addresses are never gathered.
     """
     cars = (
         zone_center_list(dictionary)
@@ -540,7 +540,7 @@ def zones_kmeans_reduced(dictionary: DataFrame, centers: int = 5) -> DataFrame:
         )
         return spots.join(centres, ["out_id"], "left").withColumn("near", F.array_min(ranked)).drop("centres")
 
-    while True:
+    for _ in range(most_rounds):
         means = (
             assigned(centres)
             .where(F.col("near").isNotNull())

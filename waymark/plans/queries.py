@@ -74,8 +74,10 @@ def trips_labelled(spark, sf):
 
 @query
 def trips_unlabelled(spark, sf):
-    hidden = source.hide_ends(_split(spark, sf)[1])
-    return _shown(hidden.where("end_lat_e5 is null"), ("r_key", "out_id", "start_time", "start_lat_e5", "start_lon_e5"))
+    path = source.write_unlabelled_csv(_split(spark, sf)[1], new_table_path(spark, "targets-csv"))
+    back = source.read_unlabelled_csv(spark, path).where("end_lat_e5 is null")
+    back = back.withColumn("r_key", F.col("r_key").cast("bigint")).withColumn("out_id", F.col("out_id").cast("bigint"))
+    return _shown(back, ("r_key", "out_id", "start_time", "start_lat_e5", "start_lon_e5"))
 
 
 @query

@@ -65,6 +65,14 @@ def read_unlabelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return _to_e5(spark.read.schema(UNLABELLED_CSV).option("header", True).option("enforceSchema", False).csv(path))
 
 
+def write_unlabelled_csv(trips: DataFrame, path: str) -> str:
+    """Write trips without their ends, the form ``read_unlabelled_csv`` reads back."""
+    at = {f"start_{c}": (F.col(f"start_{c}_e5").cast("decimal(12,0)") / 100_000).cast("decimal(9,5)").alias(f"start_{c}") for c in ("lat", "lon")}
+    writer = trips.select(*[at.get(c, F.col(c)) for c in UNLABELLED_CSV.names]).write
+    writer.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return path
+
+
 def write_csv(trips: DataFrame, path: str, partition_by: str | None = None) -> str:
     """Write trips as CSV with decimal degrees, the form ``read_labelled_csv`` reads back."""
     flat = trips.select(
@@ -77,16 +85,6 @@ def write_csv(trips: DataFrame, path: str, partition_by: str | None = None) -> s
     return path
 
 
-def hide_ends(trips: DataFrame) -> DataFrame:
-    """The unlabelled form of trips: ends set to null."""
-    return trips.select(
-        *[
-            F.lit(None).cast(trips.schema[c].dataType).alias(c) if c.startswith("end_") else F.col(c)
-            for c in trips.columns
-        ]
-    )
-
-
 def minute_chunk(ts: str) -> Column:
     """Minutes since 1970, an order-preserving division of time for ordered scans over hot cars."""
     return F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
