@@ -1,3 +1,5 @@
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import Row
@@ -57,3 +59,31 @@ def test_query_equals_sql(spark, sf):
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = con.execute(f"{mixing.OP1_SQL} order by doc_id").fetchall()
     assert [tuple(r) for r in mixing.op1_mix(spark, sf).orderBy("doc_id").collect()] == want
+
+
+def test_mix_is_in_order_of_finish_times(spark, sf):
+    """Each part of the merged queue serves the sources in the same shares, and holds the copies that ``mix`` counts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mixed(docs).select("doc_id", "source", mixing.n_words().alias("n")).collect()
+    counted = {r.doc_id: r.copies for r in mixing.mix(docs).where("copies > 0").collect()}
+    assert Counter(r.doc_id for r in rows) == counted
+    targets = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    longest, done = max(r.n for r in rows), Counter()
+    for i, r in enumerate(rows):
+        done[r.source] += r.n
+        if i % 50 == 49:
+            at = max((done[s] / targets[s] for s in targets))
+            assert all(abs(done[s] / targets[s] - at) <= 2 * longest / min(targets.values()) for s in targets)
+
+
+def test_rows_without_an_id_queue_apart(spark):
+    """A third of all rows has no id, another third has one id: every row is still counted, and the budget kept, in any division."""
+    docs = spark.range(3000).selectExpr(
+        "case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end doc_id", "concat('w', id, repeat(' x', cast(id % 5 as int))) text", "if(id % 2 = 0, 'a', 'b') source"
+    )
+    total = docs.agg(F.sum(mixing.n_words())).first()[0]
+    for parts in (1, 7):
+        out = mixing.mix(docs.repartition(parts)).agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.sum(F.hash("text").cast("long") * F.col("copies")).alias("which")).first()
+        assert out.n == 3000 and total - 15 <= out.taken <= total
+        assert parts == 1 or out == first
+        first = out

@@ -2,12 +2,14 @@
 
 Sizes are word counts. Every source gets a target (its weight's share of the budget, at most ``max_repeats`` times its
 own size). Its documents queue in shuffled order, up to ``max_repeats`` passes; each copy has a virtual finish time, the
-words of its source up to and including it divided by the source's target. All queues are cut at the finish time where the
-budget is spent, so every source is served in step with its target. The cut is found in a histogram of finish times, without a range
-sort; the rows taken are those of the merged queues, but they come in the order of the input, not interleaved.
+words of its source up to and including it divided by the source's target. All copies of all sources are range-sorted by finish
+time; ranges are summed, words run on inside each, and the merged queue ends where the budget is spent, so every source is
+served in step with its target. ``mixed`` gives the taken copies in this order, sources interleaved.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of its own, the
-last; equal rows take part one by one; an empty table gives an empty table; input columns named like an output column are replaced.
+last; rows with a null doc_id, or with one that others have too, queue one by one, apart by their texts; equal rows take part one by one;
+a text of any length is one document and counts whole; copies with equal finish times are taken together or not at all; an empty
+table gives an empty table; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.session import materialise
+from waymark.session import discard, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Each source's shuffled queue is summed in this many pieces of equal hash range (three hex digits).
 PIECE_DIGITS = 3
-#: The merged queue is summed in this many steps of finish time below a finish time of 1, and as many above.
-STEPS = 4096
 
 
 def n_words(text: str = "text") -> Column:
@@ -61,13 +61,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), budge
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: float = 1.0, max_repeats: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``max_repeats``).
 
-    Whole documents only. The shuffle is the order of ``md5(doc_id)``, so reruns agree.
+    Whole documents only. The shuffle is the order of the MD5 of doc_id and text, so reruns agree.
     """
+    return _queued(docs, weights, budget_share, max_repeats).drop("_mix_h", "_mix_end")
+
+
+def _queued(docs: DataFrame, weights: Sequence[float], budget_share: float, max_repeats: int) -> DataFrame:
+    """``mix`` with the order ``_mix_h`` of each row in its source's queue and the words up to it in the first pass, ``_mix_end``."""
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sized = docs.select(
         *kept,
         n_words().alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_mix_h"),
+        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary")).alias("_mix_h"),
     ).withColumn("_mix_piece", F.substring("_mix_h", 1, PIECE_DIGITS))
     slim = materialise(sized.select("doc_id", "source", "size", "_mix_h", "_mix_piece"), "mix-sizes")
 
@@ -88,40 +93,40 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: flo
         joined = rows.join(pieces, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_piece") == F.col("_mix_p")))
         return joined.withColumn("_mix_end", F.col("_mix_before") + F.sum("size").over(own))
 
-    def finish(copy: Column | int) -> Column:
-        return (copy * F.col("source_size") + F.col("_mix_end")).cast("double") / F.col("target")
-
     copies = queued(slim).where((F.col("size") > 0) & (F.col("target") > 0))
-    copies = copies.select("size", F.explode(F.array(*[finish(F.lit(i)) for i in range(max_repeats)])).alias("at"))
-    copies = copies.groupBy("at").agg(F.sum("size").alias("size"))
+    copies = copies.select("size", F.explode(F.array(*[_finish(F.lit(i)) for i in range(max_repeats)])).alias("at"))
     cut = _spent_at(copies, slim.agg((F.sum("size") * budget_share).alias("b")).first()["b"] or 0)
-    taken = sum((F.when(finish(F.lit(i)) <= cut, 1).otherwise(0) for i in range(max_repeats)), F.lit(0))
+    taken = sum((F.when(_finish(F.lit(i)) <= cut, 1).otherwise(0) for i in range(max_repeats)), F.lit(0))
     return queued(sized).select(
-        *kept, "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).alias("copies")
+        *kept, "size", "source_size", "target", "_mix_h", "_mix_end", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).alias("copies")
     )
 
 
+def _finish(copy: Column) -> Column:
+    """Virtual finish time of a row's copy in the pass of that number."""
+    return (copy * F.col("source_size") + F.col("_mix_end")).cast("double") / F.col("target")
+
+
 def _spent_at(copies: DataFrame, budget: float) -> float:
-    """The latest finish time up to which all copies together stay within ``budget``; equal times go together."""
-    at = F.col("at")
-    copies = materialise(copies.withColumn("step", F.floor(2 * STEPS * at / (1 + at))), "mix-queue")
-    steps = copies.groupBy("step").agg(F.sum("size").alias("size"), F.max("at").alias("last"))
-    so_far = steps.withColumn("after", F.sum("size").over(Window.orderBy("step")))
-    whole = so_far.where(F.col("after") <= budget).agg(F.max("after").alias("after"), F.max("last").alias("last")).first()
-    torn = so_far.where(F.col("after") > budget).agg(F.min("step")).first()[0]
-    cut = whole["last"] if whole["last"] is not None else -1.0
-    if torn is not None:
-        inner = F.sum("size").over(Window.orderBy("at")) + F.lit(whole["after"] or 0)
-        last = copies.where(F.col("step") == torn).select("at", inner.alias("after")).where(F.col("after") <= budget).agg(F.max("at")).first()[0]
-        cut = last if last is not None else cut
-    return cut
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: columns of ``docs``, each document as often as it is taken."""
-    return mix(docs, **options).where(F.col("copies") > 0).withColumn(
-        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
-    ).select(*docs.columns)
+    """The latest finish time up to which all copies (size, at) together stay within ``budget``; equal times go together.
+
+    The range sort puts equal times into one range. Ranges are written with their numbers, which so stay the same when a task runs again.
+    """
+    ranged = materialise(copies.repartitionByRange("at").withColumn("_range", F.spark_partition_id()), "mix-queue")
+    sums = ranged.groupBy("_range").agg(F.sum("size").alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    inner = F.sum("size").over(Window.partitionBy("_range").orderBy("at"))
+    spent = ranged.withColumn("_inner", inner).join(before, "_range").where(F.col("_inner") + F.col("_before") <= budget)
+    cut = spent.agg(F.max("at")).first()[0]
+    discard(ranged)
+    return -1.0 if cut is None else cut
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: float = 1.0, max_repeats: int = 3) -> DataFrame:
+    """The mix itself: columns of ``docs``, each document as often as it is taken, range-sorted by finish time."""
+    taken = _queued(docs, weights, budget_share, max_repeats).where(F.col("copies") > 0)
+    each = taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("_mix_at", _finish(F.col("_mix_copy")))
+    return each.repartitionByRange("_mix_at", "_mix_h").sortWithinPartitions("_mix_at", "_mix_h").select(*docs.columns)
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
@@ -134,7 +139,7 @@ def mix_sql(docs: str, columns: str) -> str:
     """DuckDB text of the mix of table ``docs`` with the default parameters; ``columns`` may use those of table ``q``."""
     return f"""
 with sized as (select *, cast(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) as bigint) size,
-                      md5(coalesce(cast(doc_id as varchar), '')) h from {docs}),
+                      md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) h from {docs}),
 src as (select source, cast(sum(size) as bigint) source_size from sized group by source),
 ranked as (select *, row_number() over (order by source nulls last) r, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double w from src),
 lev as (select *, source_size * 3.0::double as cap, source_size * 3.0::double / w as lvl, cast(sum(source_size) over () as double) budget from ranked),
