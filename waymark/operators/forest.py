@@ -51,7 +51,7 @@ def bootstrap(seed: int = 0) -> Weight:
 
     def copies(tree: Column) -> Column:
         draw = _drawn(seed, tree, "r_key") / F.lit(float(1 << 32))
-        return F.size(F.filter(steps, lambda p: p <= draw))
+        return F.get(F.transform(F.array(draw), lambda d: F.size(F.filter(steps, lambda p: p <= d))), 0)  # one draw for all steps
 
     return copies
 
@@ -88,7 +88,11 @@ def _start(trees: int) -> Column:
 
 
 def _planted(train: DataFrame, trees: int, weight: Weight | None) -> DataFrame:
-    """Training rows with their weight in every tree, drawn once, and with their node in every tree: the first."""
+    """Training rows with their weight in every tree, drawn once, and with their node in every tree: the first.
+
+    A row stands for as many rows as there are trees, so rows are spread by count, not by their bytes.
+    """
+    train = train.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r_key")
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     weights = F.transform(numbers, (lambda tree: weight(tree).cast("int")) if weight else (lambda _: F.lit(1)))
     return materialise(train.withColumn("weights", weights).withColumn("nodes", _start(trees)), "forest-rows")
@@ -141,6 +145,8 @@ def best_splits(counts: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
     """
     node = [*keys, "tree", "node", "feature"]
     counts = counts.repartition(*node)  # all that follows but the last step is divided like this
+    counts = counts.withColumn("_k", F.xxhash64(*node))  # sorts compare this number first, not the keys one by one
+    node = ["_k", *node]
     zone = Window.partitionBy(*node, "label")
     before = F.coalesce(F.sum("w").over(zone.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     grown = counts.withColumn("_l", before).withColumn("_t", F.sum("w").over(zone))
@@ -165,29 +171,34 @@ def best_splits(counts: DataFrame, keys: Sequence[str] = CAR) -> DataFrame:
     right = F.col("_s") - 2 * F.col("_x") + F.col("_sl")
     score = F.col("_sl") / F.col("_wl") + right / (F.col("_w") - F.col("_wl"))
     scored = cuts.where(F.col("_next").isNotNull() & (F.col("_s") < F.col("_w") * F.col("_w"))).withColumn("_score", score)
-    best = scored.groupBy(*keys, "tree", "node").agg(
-        F.max_by(
-            F.struct(
-                "feature",
-                (F.col("value") + F.col("_next")).alias("twice_cut"),
-                (F.col("_score") - F.col("_s") / F.col("_w")).alias("gain"),
-                F.col("_w").alias("weight"),
-            ),
-            F.struct("_score", -F.col("feature"), -F.col("value")),
-        ).alias("b")
+    cut = F.struct(
+        "feature",
+        (F.col("value") + F.col("_next")).alias("twice_cut"),
+        (F.col("_score") - F.col("_s") / F.col("_w")).alias("gain"),
+        F.col("_w").alias("weight"),
     )
+    rank = F.struct("_score", -F.col("feature"), -F.col("value"))
+    # First by feature, where the rows already lie in order, so that only a node's best cuts are shuffled and sorted again.
+    each = scored.groupBy(*node).agg(F.max_by(cut, rank).alias("b"), F.max(rank).alias("_rank"))
+    best = each.groupBy(*keys, "tree", each["node"]).agg(F.max_by("b", "_rank").alias("b"))
     return best.select(*keys, "tree", "node", "b.*")
 
 
 def _as_arrays(splits: DataFrame, level: int, trees: int, keys: list[str]) -> DataFrame:
-    """One array of splits per car, indexed by ``tree * 2**level + node``, null where a node does not split."""
-    entry = F.struct(
-        (F.col("tree") * 2**level + F.col("node")).cast("int").alias("at"), F.struct("feature", "twice_cut").alias("split")
+    """One array of splits per car, indexed by ``tree * 2**level + node``, null where a node does not split.
+
+    Filled tree by tree, then car by car, as looking up every place of a car in one map would grow with the square of its places.
+    """
+    width = 2**level
+    of_node = F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("int"), F.struct("feature", "twice_cut").alias("split"))))
+    nodes = splits.groupBy(*keys, "tree").agg(of_node.alias("_n")).select(
+        *keys, "tree", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("_n")[i]).alias("_nodes")
     )
-    found = F.map_from_entries(F.collect_list(entry))
-    return splits.groupBy(*keys).agg(found.alias("_m")).select(
+    of_tree = F.map_from_entries(F.collect_list(F.struct(F.col("tree").cast("int"), "_nodes")))
+    none = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda _: F.lit(None))
+    return nodes.groupBy(*keys).agg(of_tree.alias("_m")).select(
         *keys,
-        F.transform(F.sequence(F.lit(0), F.lit(trees * 2**level - 1)), lambda i: F.col("_m")[i]).alias(f"split{level}"),
+        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.col("_m")[t], none))).alias(f"split{level}"),
     )
 
 
