@@ -55,3 +55,26 @@ def test_deep_trees_and_empty_tables(spark):
     shares = each.groupBy("tree", "r_key").agg(F.sum("p").alias("p")).collect()
     assert len(shares) == 120 and all(abs(r.p - 1) < 1e-9 for r in shares)
     assert forest.tree_shares(train.limit(0), train.drop("label").limit(0), 2, 2).count() == 0
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_small_cars_need_no_jobs_by_level_and_get_the_same(spark, monkeypatch, sparse):
+    rows = [(c, r, None if r == 9 else label, v[: 3 + c]) for c, r, label, v in made(150)]  # cars differ in their features; one label is null
+    x = "x map<int, bigint>" if sparse else "x array<bigint>"
+    given = [(c, r, label, {f: v for f, v in enumerate(v) if v} if sparse else v, len(v)) for c, r, label, v in rows]
+    train = spark.createDataFrame([g for g in given if g[0] != 2 or g[1] < 9], f"out_id bigint, r_key bigint, label bigint, {x}, n_features int")
+    asked = spark.createDataFrame(given, train.schema).drop("label")
+    settings = (7, 3, 0, forest.bootstrap(), 0)
+    by_levels = forest._by_levels(train, asked, *settings, ["out_id"], sparse).collect()
+    want = {(r.out_id, r.tree, r.r_key, r.zoneid): pytest.approx(r.p, abs=1e-12) for r in by_levels}
+
+    def shares():
+        return {(r.out_id, r.tree, r.r_key, r.zoneid): r.p for r in forest.tree_shares(train, asked, *settings, sparse=sparse).collect()}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(forest, "_grown", None)
+        assert shares() == want
+        mean = forest.forest_probabilities(train, asked, 7, 3, sparse=sparse).groupBy("out_id", "r_key").agg(F.sum("p").alias("p")).collect()
+        assert len(mean) == 150 and all(r.p == pytest.approx(1) for r in mean)
+    monkeypatch.setattr(forest, "SMALL_CELLS", 400)  # both kinds of cars
+    assert shares() == want

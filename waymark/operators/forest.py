@@ -6,20 +6,29 @@ counts, which Spark combines before the shuffle, and then moves by the splits of
 arrays (at most ``trees * 2**level`` entries each), so rows meet them in one join per level. Cuts lie between any two values
 that occur, however many there are. The features of a node are drawn once for all cars with as many features, not row by row.
 
+Cars of up to ``SMALL_CELLS`` cells (rows times trees) whose leaves are all that is asked for are grown whole inside tasks, after one shuffle of the
+rows: the same steps over arrays of many cars. The jobs by level are for larger cars. Both give the same trees.
+
 Draws come from MD5, so other engines can repeat them. Features are whole numbers in an array ``x`` or, when most are zero, a map ``x`` from
 feature to value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators import whole
 from waymark.session import discard, materialise
 
 CAR = ("out_id",)
+#: Rows times trees (or features, where these are more) of a car that is grown inside one task; about as many are worked on at once.
+SMALL_CELLS = 400_000
 #: The weight of a row in the tree of a number.
 Weight = Callable[[Column], Column]
 
@@ -248,6 +257,183 @@ def grow(
     return model, splits
 
 
+class _Draws:
+    """The features that each node looks at, as ``_features`` draws them, for any number of features."""
+
+    def __init__(self, seed: int, trees: int, per_node: int | None):
+        self.seed, self.trees, self.per_node = seed, trees, per_node
+        self.drawn: dict[int, np.ndarray] = {}
+        self.found: dict[tuple[int, int], np.ndarray] = {}
+
+    def _numbers(self, level: int, n: int) -> np.ndarray:
+        have = self.drawn.get(level, np.zeros((self.trees << level, 0), np.int64))
+        if have.shape[1] < n:
+            places = range(self.trees << level)
+            more = [
+                [int.from_bytes(hashlib.md5(f"{self.seed}:{p >> level}:{level}:{p % (1 << level)}:{j}".encode()).digest()[:4]) for j in range(have.shape[1], n)]
+                for p in places
+            ]
+            have = self.drawn[level] = np.hstack([have, np.array(more, np.int64)])
+        return have
+
+    def at(self, level: int, n: int) -> np.ndarray:
+        """Features in rising order by ``tree * 2**level + node``, for cars with ``n`` features."""
+        if self.per_node is None:
+            return np.tile(np.arange(n), (self.trees << level, 1))
+        if (level, n) not in self.found:
+            wanted = min(n, int(np.ceil(np.sqrt(float(n)))) if self.per_node == 0 else self.per_node)
+            order = np.argsort(self._numbers(level, n)[:, :n], axis=1, kind="stable")
+            self.found[level, n] = np.sort(order[:, :wanted], axis=1)
+        return self.found[level, n]
+
+
+def _running(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums up to and including each place inside its group, and over its whole group; equal groups lie together."""
+    total = np.cumsum(values)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    length = np.diff(np.r_[first, len(group)])
+    before = total[first] - values[first]
+    return total - np.repeat(before, length), np.repeat(total[first + length - 1] - before, length)
+
+
+def _node_cuts(seg: np.ndarray, label: np.ndarray, w: np.ndarray, feature: np.ndarray, x: np.ndarray, row: np.ndarray, rank: np.ndarray, ids: int, best: list[np.ndarray]) -> None:
+    """Betters the cuts ``best`` (score, feature, twice the cut) of each of ``ids`` nodes by one feature of each, as ``best_splits``.
+
+    A place adds ``2*l*w + w*w`` to the left sum of squares, with ``l`` what its zone has before it; so sums are right wherever a value ends.
+    """
+    value = rank[row, feature]
+    order = np.argsort(seg * (int(value.max()) + 1) + value)
+    seg, label, w, value = seg[order], label[order], w[order], value[order]
+    zone = np.argsort(seg * (int(label.max()) + 1) + label, kind="stable")
+    key = seg[zone] * (int(label.max()) + 1) + label[zone]
+    held, all_ = _running(w[zone], key)
+    l, t = np.empty_like(w), np.empty_like(w)
+    l[zone], t[zone] = held - w[zone], all_
+    wl, whole_ = _running(w, seg)
+    sl, square = _running(2 * l * w + w * w, seg)
+    tl, _ = _running(t * w, seg)
+    at = np.flatnonzero((seg[1:] == seg[:-1]) & (value[1:] != value[:-1]) & (square < whole_ * whole_)[:-1])
+    if not len(at):
+        return
+    score = sl[at] / wl[at] + (square[at] - 2 * tl[at] + sl[at]) / (whole_[at] - wl[at])
+    found, place = whole.best_of(ids, seg[at], score)
+    better = score[place] > best[0][found]  # features come in rising order: equal scores stay with the lower
+    found, place = found[better], place[better]
+    here, next_ = order[at[place]], order[at[place] + 1]
+    best[0][found], best[1][found] = score[place], feature[here]
+    best[2][found] = x[row[here], feature[here]] + x[row[next_], feature[next_]]
+
+
+def _moved_cells(node: np.ndarray, tree: np.ndarray, row: np.ndarray, x: np.ndarray, first: int, feature: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Cells after a level has been split; ``tree`` numbers the trees of all cars. As ``_moved``."""
+    goes = np.flatnonzero(node >= first)
+    at = tree[goes] * first + node[goes] - first
+    goes, at = goes[feature[at] >= 0], at[feature[at] >= 0]
+    node = node.copy()
+    node[goes] = 2 * node[goes] + (2 * x[row[goes], feature[at]] > twice[at])
+    return node
+
+
+def _grow_cars(car: np.ndarray, learns: np.ndarray, label: np.ndarray, weights: np.ndarray, x: np.ndarray, sizes: np.ndarray, depth: int, draws: _Draws) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of cars that count from 0 with ``sizes`` features, the shares (row, tree, label's place, p) of rows that don't learn, piece by piece."""
+    trees = weights.shape[1]
+    rank = np.stack([np.unique(x[:, f], return_inverse=True)[1].ravel() for f in range(x.shape[1])], axis=1)
+    row, number = np.nonzero((weights > 0) & learns[:, None])
+    w, tree = weights[row, number].astype(np.int64), car[row] * trees + number
+    node = np.ones(len(row), np.int64)
+    ask = np.flatnonzero(~learns)
+    a_row, a_number = np.repeat(ask, trees), np.tile(np.arange(trees), len(ask))
+    a_tree, a_node = car[a_row] * trees + a_number, np.ones(len(ask) * trees, np.int64)
+    all_trees = len(sizes) * trees
+    for level in range(depth):
+        first = 1 << level
+        cut, twice = np.full(all_trees * first, -1), np.zeros(all_trees * first, np.int64)
+        open_ = np.flatnonzero(node >= first)
+        place = tree[open_] * first + node[open_] - first
+        for n in np.unique(sizes):
+            own = sizes[car[row[open_]]] == n
+            cells, ids, features = open_[own], place[own], draws.at(level, int(n))
+            if not len(cells):
+                continue
+            ids, seg = np.unique(ids, return_inverse=True)
+            best = [np.full(len(ids), -np.inf), np.full(len(ids), -1), np.zeros(len(ids), np.int64)]
+            looks = features[number[cells] * first + node[cells] - first]
+            for i in range(features.shape[1]):
+                _node_cuts(seg, label[row[cells]], w[cells], looks[:, i], x, row[cells], rank, len(ids), best)
+            cut[ids], twice[ids] = best[1], best[2]
+        node = _moved_cells(node, tree, row, x, first, cut, twice)
+        a_node = _moved_cells(a_node, a_tree, a_row, x, first, cut, twice)
+    # leaves: weight of each label, in the order of leaves
+    ends, zones = 1 << depth, int(label.max()) + 1
+    leaf, a_leaf = tree * 2 * ends + node, a_tree * 2 * ends + a_node
+    pairs, at = np.unique(leaf * zones + label[row], return_inverse=True)
+    held = np.bincount(at, w).astype(np.int64)
+    leaves, first, count = np.unique(pairs // zones, return_index=True, return_counts=True)
+    share = held / np.repeat(np.add.reduceat(held, first), count) if len(first) else np.zeros(0)
+    found = np.searchsorted(leaves, a_leaf)
+    has = np.flatnonzero((leaves[np.minimum(found, len(leaves) - 1)] == a_leaf) if len(leaves) else np.zeros(len(a_leaf), bool))
+    found = found[has]
+    for a, b in whole.pieces(has, count[found], 4 * SMALL_CELLS):
+        which, k, _ = whole.spread(count[found[a:b]])
+        here = first[found[a:b]][which] + k
+        cells = has[a:b][which]
+        yield a_row[cells], a_number[cells], pairs[here] % zones, share[here]
+
+
+def _whole_cars(rows: DataFrame, weights: Column, trees: int, depth: int, seed: int, per_node: int | None, keys: list[str], summed: bool) -> DataFrame:
+    """``keys, tree, r_key, zoneid, p``, or with ``summed`` without ``tree`` and the sums of ``p`` over trees.
+
+    ``rows`` have ``role`` (0: learns, 1: asks), ``label``, ``x`` and ``n_features``.
+    """
+    bound = SMALL_CELLS
+
+    def work(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.r_[starts[1:], table.num_rows]
+        sizes = table.column("n_features").to_numpy()[starts]
+        for a, b in whole.pieces(starts, (ends - starts) * np.maximum(trees, sizes), bound):
+            part = table.slice(int(starts[a]), int(ends[b - 1] - starts[a])).combine_chunks()
+            learns = part.column("role").to_numpy() == 0
+            names = part.column("label").combine_chunks()
+            names = (names.chunk(0) if isinstance(names, pa.ChunkedArray) else names).dictionary_encode(null_encoding="encode")
+            x = whole.matrix(part.column("x"), int(sizes[a:b].max()))
+            car = np.repeat(np.arange(b - a), (ends - starts)[a:b])
+            weights = whole.matrix(part.column("weights"), trees)
+            for row, tree, zone, p in _grow_cars(car, learns, names.indices.to_numpy(), weights, x, sizes[a:b], depth, draws):
+                if summed:
+                    key, at = np.unique(row * len(names.dictionary) + zone, return_inverse=True)
+                    row, zone, p = key // len(names.dictionary), key % len(names.dictionary), np.bincount(at, p)
+                out = part.select([*keys, "r_key"]).take(pa.array(row))
+                if not summed:
+                    out = out.add_column(len(keys), "tree", pa.array(tree.astype(np.int32)))
+                out = out.append_column("zoneid", names.dictionary.take(pa.array(zone))).append_column("p", pa.array(p))
+                yield from out.combine_chunks().to_batches(max_chunksize=100_000)
+
+    draws = _Draws(seed, trees, per_node)
+    tree = [] if summed else [F.lit(0).alias("tree")]
+    schema = rows.select(*keys, *tree, "r_key", F.col("label").alias("zoneid"), F.lit(0.0).alias("p")).schema
+    return whole.by_car(rows, keys, work, schema, {"weights": weights})
+
+
+def _shares(train: DataFrame, queries: DataFrame, trees: int, depth: int, seed: int, weight: Weight | None, per_node: int | None, keys: list[str], sparse: bool, summed: bool) -> DataFrame:
+    """Shares by tree of all queries, or with ``summed`` their sums over trees (those of a zone may come in several rows)."""
+    cells = F.count("*") * F.greatest(F.lit(trees), F.max("n_features"))
+    sizes = train.select(*keys, "n_features", F.lit(1).alias("learns")).unionByName(queries.select(*keys, "n_features", F.lit(0).alias("learns")))
+    sizes = sizes.groupBy(*keys).agg(cells.cast("long").alias("cells"), F.max("learns").alias("learns")).where("learns = 1")
+    sizes = materialise(sizes.select(*keys, "cells"), "forest-sizes")
+    small, large = (sizes.where(c).select(*keys) for c in (F.col("cells") <= SMALL_CELLS, F.col("cells") > SMALL_CELLS))
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    weights = F.transform(numbers, (lambda tree: weight(tree).cast("int")) if weight else (lambda _: F.lit(1)))
+    known = train.select(*keys, "r_key", "label", "x", "n_features", F.lit(0).alias("role"))
+    asked = queries.select(*keys, "r_key", F.lit(None).cast(train.schema["label"].dataType).alias("label"), "x", "n_features", F.lit(1).alias("role"))
+    weights = F.when(F.col("role") == 0, weights).otherwise(F.array_repeat(F.lit(0), trees))
+    found = _whole_cars(known.unionByName(asked).join(small, keys, "left_semi"), weights, trees, depth, seed, per_node, keys, summed)
+    if large.isEmpty():
+        return found
+    train, queries = (df.join(large, keys, "left_semi") for df in (train, queries))
+    each = _by_levels(train, queries, trees, depth, seed, weight, per_node, keys, sparse)
+    return found.unionByName(each.drop("tree") if summed else each)
+
+
 def tree_shares(
     train: DataFrame,
     queries: DataFrame,
@@ -260,7 +446,11 @@ def tree_shares(
     sparse: bool = False,
 ) -> DataFrame:
     """``keys, tree, r_key, zoneid, p``: the zone shares in the leaf that a query falls into, tree by tree."""
-    keys = list(keys)
+    return _shares(train, queries, trees, depth, seed, weight, per_node, list(keys), sparse, False)
+
+
+def _by_levels(train: DataFrame, queries: DataFrame, trees: int, depth: int, seed: int, weight: Weight | None, per_node: int | None, keys: list[str], sparse: bool) -> DataFrame:
+    """``tree_shares`` of cars of any size, by jobs over all rows."""
     model, _, planted = _grown(_planted(train, trees, weight), trees, depth, seed, per_node, keys, sparse)
     leaf = [*keys, "tree", "node"]
     weights = _each_tree(planted).groupBy(*leaf, "label").agg(F.sum("w").alias("w"))
@@ -278,7 +468,7 @@ def forest_probabilities(train: DataFrame, queries: DataFrame, trees: int = 100,
     Trees whose sample of a car is empty have no leaves; the rest share the weight.
     """
     keys = list(keys)
-    each = tree_shares(train, queries, trees, depth, seed, bootstrap(seed), 0, keys, sparse)
+    each = _shares(train, queries, trees, depth, seed, bootstrap(seed), 0, keys, sparse, True)
     sums = each.groupBy(*keys, "r_key", "zoneid").agg(F.sum("p").alias("p"))
     over = sums.groupBy(*keys, "r_key").agg(F.sum("p").alias("_sum"))
     return sums.join(over, [*keys, "r_key"]).select(*keys, "r_key", "zoneid", (F.col("p") / F.col("_sum")).alias("p"))
