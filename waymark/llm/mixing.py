@@ -73,8 +73,8 @@ def _queued(docs: DataFrame, weights: Sequence[float], budget_share: float, max_
         *kept,
         n_words().alias("size"),
         F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary")).alias("_mix_h"),
-    ).withColumn("_mix_piece", F.substring("_mix_h", 1, PIECE_DIGITS))
-    slim = materialise(sized.select("doc_id", "source", "size", "_mix_h", "_mix_piece"), "mix-sizes")
+    ).withColumns({"_mix_source": _source_key(), "_mix_piece": F.substring("_mix_h", 1, PIECE_DIGITS)})
+    slim = materialise(sized.select("doc_id", "source", "size", "_mix_h", "_mix_source", "_mix_piece"), "mix-sizes")
 
     sums = slim.groupBy("source", "_mix_piece").agg(F.sum("size").alias("_mix_sum"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("_mix_sum").alias("source_size")), weights, budget_share, max_repeats)
@@ -82,16 +82,16 @@ def _queued(docs: DataFrame, weights: Sequence[float], budget_share: float, max_
     pieces = sums.withColumn("_mix_before", F.sum("_mix_sum").over(in_source) - F.col("_mix_sum")).alias("p")
     pieces = materialise(
         pieces.join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
-            F.col("p.source").alias("_mix_source"), F.col("_mix_piece").alias("_mix_p"), "_mix_before", "source_size", "target"
+            _source_key("p.source").alias("_mix_source"), "_mix_piece", "_mix_before", "source_size", "target"
         ),
         "mix-pieces",
     )
 
     def queued(rows: DataFrame) -> DataFrame:
-        """Words of the source's queue up to and including each row, in the first pass."""
-        own = Window.partitionBy("_mix_source", "_mix_p").orderBy("_mix_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        joined = rows.join(pieces, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_piece") == F.col("_mix_p")))
-        return joined.withColumn("_mix_end", F.col("_mix_before") + F.sum("size").over(own))
+        """Words of the source's queue up to and including each row, in the first pass. Sums and join divide rows alike, so texts move once."""
+        own = Window.partitionBy("_mix_source", "_mix_piece").orderBy("_mix_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        summed = rows.withColumn("_mix_sum", F.sum("size").over(own))
+        return summed.join(pieces, ["_mix_source", "_mix_piece"]).withColumn("_mix_end", F.col("_mix_before") + F.col("_mix_sum"))
 
     copies = queued(slim).where((F.col("size") > 0) & (F.col("target") > 0))
     copies = copies.select("size", F.explode(F.array(*[_finish(F.lit(i)) for i in range(max_repeats)])).alias("at"))
@@ -102,6 +102,11 @@ def _queued(docs: DataFrame, weights: Sequence[float], budget_share: float, max_
     )
 
 
+def _source_key(source: str = "source") -> Column:
+    """A source's name, distinct from the key of null, so that a plain join and a window on it need one shuffle."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
+
+
 def _finish(copy: Column) -> Column:
     """Virtual finish time of a row's copy in the pass of that number."""
     return (copy * F.col("source_size") + F.col("_mix_end")).cast("double") / F.col("target")
