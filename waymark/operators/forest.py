@@ -17,18 +17,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators import whole
+from waymark.operators import md5, whole
 from waymark.session import discard, materialise
 
 CAR = ("out_id",)
-#: Rows times trees (or features, where these are more) of a car that is grown inside one task; about as many are worked on at once.
+#: Rows times trees (or features, where these are more) of a car that is grown inside one task.
 SMALL_CELLS = 400_000
+#: Cells of small cars that are worked on at once: their arrays stay in a processor's cache.
+AT_ONCE = 60_000
 #: The weight of a row in the tree of a number.
 Weight = Callable[[Column], Column]
 
@@ -54,15 +57,28 @@ def _drawn(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
-def bootstrap(seed: int = 0) -> Weight:
-    """How often a row is in the sample of a tree."""
-    steps = F.array(*[F.lit(p) for p in POISSON_1])
+@dataclass(frozen=True)
+class Bootstrap:
+    """How often a row is in the sample of a tree: as an expression, or for many rows and trees as arrays."""
+
+    seed: int
 
-    def copies(tree: Column) -> Column:
-        draw = _drawn(seed, tree, "r_key") / F.lit(float(1 << 32))
+    def __call__(self, tree: Column) -> Column:
+        steps = F.array(*[F.lit(p) for p in POISSON_1])
+        draw = _drawn(self.seed, tree, "r_key") / F.lit(float(1 << 32))
         return F.get(F.transform(F.array(draw), lambda d: F.size(F.filter(steps, lambda p: p <= d))), 0)  # one draw for all steps
 
-    return copies
+    def matrix(self, keys: Sequence[str | None], trees: int) -> np.ndarray:
+        """Rows by trees, of rows with these ``r_key`` as text."""
+        copies = np.empty((len(keys), trees), np.uint8)
+        for tree, drawn in enumerate(md5.first_words([f"{self.seed}:{t}" for t in range(trees)], keys)):
+            copies[:, tree] = np.searchsorted(POISSON_1, drawn / float(1 << 32), side="right")
+        return copies
+
+
+def bootstrap(seed: int = 0) -> Weight:
+    """How often a row is in the sample of a tree."""
+    return Bootstrap(seed)
 
 
 def fold_of(folds: int, r_key: str = "r_key") -> Column:
@@ -287,41 +303,74 @@ class _Draws:
         return self.found[level, n]
 
 
-def _running(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums up to and including each place inside its group, and over its whole group; equal groups lie together."""
+def _group_sums(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place what the groups before its own sum up to, and the sum of its own."""
     total = np.cumsum(values)
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    length = np.diff(np.r_[first, len(group)])
     before = total[first] - values[first]
-    return total - np.repeat(before, length), np.repeat(total[first + length - 1] - before, length)
+    return np.repeat(before, length), np.repeat(total[first + length - 1] - before, length)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups of equal keys begin, which lie together, and their lengths."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return first, np.diff(np.r_[first, len(key)])
 
 
-def _node_cuts(seg: np.ndarray, label: np.ndarray, w: np.ndarray, feature: np.ndarray, x: np.ndarray, row: np.ndarray, rank: np.ndarray, ids: int, best: list[np.ndarray]) -> None:
-    """Betters the cuts ``best`` (score, feature, twice the cut) of each of ``ids`` nodes by one feature of each, as ``best_splits``.
+def _node_cuts(seg: np.ndarray, ids: int, label: np.ndarray, w: np.ndarray, looks: np.ndarray, x: np.ndarray, row: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """Score, feature and twice the cut of the best cut of each of ``ids`` nodes, as ``best_splits``; -1 as feature where there is none.
+    Cells of node ``seg`` have weight ``w`` and look at the features in their row of ``looks``.
 
-    A place adds ``2*l*w + w*w`` to the left sum of squares, with ``l`` what its zone has before it; so sums are right wherever a value ends.
+    A place adds ``2*l*w + w*w`` to the left sum of squares, with ``l`` what its zone has before it; so sums are right wherever a value ends. Sums over
+    a node or a zone in it are the same by every feature. Sorted numbers end in the place they had, so that no place has to be looked up.
     """
-    value = rank[row, feature]
-    order = np.argsort(seg * (int(value.max()) + 1) + value)
-    seg, label, w, value = seg[order], label[order], w[order], value[order]
-    zone = np.argsort(seg * (int(label.max()) + 1) + label, kind="stable")
-    key = seg[zone] * (int(label.max()) + 1) + label[zone]
-    held, all_ = _running(w[zone], key)
-    l, t = np.empty_like(w), np.empty_like(w)
-    l[zone], t[zone] = held - w[zone], all_
-    wl, whole_ = _running(w, seg)
-    sl, square = _running(2 * l * w + w * w, seg)
-    tl, _ = _running(t * w, seg)
-    at = np.flatnonzero((seg[1:] == seg[:-1]) & (value[1:] != value[:-1]) & (square < whole_ * whole_)[:-1])
-    if not len(at):
-        return
-    score = sl[at] / wl[at] + (square[at] - 2 * tl[at] + sl[at]) / (whole_[at] - wl[at])
-    found, place = whole.best_of(ids, seg[at], score)
-    better = score[place] > best[0][found]  # features come in rising order: equal scores stay with the lower
-    found, place = found[better], place[better]
-    here, next_ = order[at[place]], order[at[place] + 1]
-    best[0][found], best[1][found] = score[place], feature[here]
-    best[2][found] = x[row[here], feature[here]] + x[row[next_], feature[next_]]
+    best = [np.full(ids, -np.inf), np.full(ids, -1), np.zeros(ids, np.int64)]
+    some = np.empty(ids, label.dtype)
+    some[seg] = label
+    mixed = np.zeros(ids, bool)
+    mixed[seg[label != some[seg]]] = True  # pure nodes have no cut
+    cells = np.flatnonzero(mixed[seg])
+    if not len(cells):
+        return best
+    place = np.arange(len(cells))
+    bits = len(cells).bit_length()
+    mask = (1 << bits) - 1
+    cells = cells[np.sort((seg[cells] << bits) | place) & mask]
+    seg, label, w, looks, row = seg[cells], label[cells].astype(np.int64), w[cells], looks[cells], row[cells]
+    zones = int(label.max()) + 1
+    by_zone = np.sort(((seg * zones + label) << bits) | place)
+    zone = by_zone & mask
+    before_zone, in_zone = _group_sums(w[zone], *_groups(by_zone >> bits))
+    t = np.empty_like(w)
+    t[zone] = in_zone
+    nodes = _groups(seg)
+    before_w, all_w = _group_sums(w, *nodes)
+    before_s, all_s = _group_sums(t * w, *nodes)
+    inside = seg[1:] == seg[:-1]
+    for i in range(looks.shape[1]):
+        value = rank[row, looks[:, i]]
+        start = seg * (int(value.max()) + 1)
+        order = np.sort(((start + value) << bits) | place)
+        value, order = (order >> bits) - start, order & mask
+        at = np.flatnonzero(inside & (value[1:] != value[:-1]))
+        if not len(at):
+            continue
+        here_w, here_t = w[order], t[order]
+        zone = np.sort(((seg * zones + label[order]) << bits) | place) & mask
+        zone_w = here_w[zone]
+        l = np.empty_like(w)
+        l[zone] = np.cumsum(zone_w) - before_zone - zone_w
+        wl = np.cumsum(here_w)[at] - before_w[at]
+        sl = np.cumsum(2 * l * here_w + here_w * here_w)[at] - before_s[at]
+        tl = np.cumsum(here_t * here_w)[at] - before_s[at]
+        score = sl / wl + (all_s[at] - 2 * tl + sl) / (all_w[at] - wl)
+        found, first = whole.best_of(ids, seg[at], score)
+        better = score[first] > best[0][found]  # features come in rising order: equal scores stay with the lower
+        found, first = found[better], first[better]
+        here, next_ = order[at[first]], order[at[first] + 1]
+        feature = looks[here, i]
+        best[0][found], best[1][found] = score[first], feature
+        best[2][found] = x[row[here], feature] + x[row[next_], feature]
+    return best
 
 
 def _moved_cells(node: np.ndarray, tree: np.ndarray, row: np.ndarray, x: np.ndarray, first: int, feature: np.ndarray, twice: np.ndarray) -> np.ndarray:
@@ -356,11 +405,8 @@ def _grow_cars(car: np.ndarray, learns: np.ndarray, label: np.ndarray, weights:
             if not len(cells):
                 continue
             ids, seg = np.unique(ids, return_inverse=True)
-            best = [np.full(len(ids), -np.inf), np.full(len(ids), -1), np.zeros(len(ids), np.int64)]
             looks = features[number[cells] * first + node[cells] - first]
-            for i in range(features.shape[1]):
-                _node_cuts(seg, label[row[cells]], w[cells], looks[:, i], x, row[cells], rank, len(ids), best)
-            cut[ids], twice[ids] = best[1], best[2]
+            _, cut[ids], twice[ids] = _node_cuts(seg, len(ids), label[row[cells]], w[cells], looks, x, row[cells], rank)
         node = _moved_cells(node, tree, row, x, first, cut, twice)
         a_node = _moved_cells(a_node, a_tree, a_row, x, first, cut, twice)
     # leaves: weight of each label, in the order of leaves
@@ -380,16 +426,20 @@ def _grow_cars(car: np.ndarray, learns: np.ndarray, label: np.ndarray, weights:
         yield a_row[cells], a_number[cells], pairs[here] % zones, share[here]
 
 
-def _whole_cars(rows: DataFrame, weights: Column, trees: int, depth: int, seed: int, per_node: int | None, keys: list[str], summed: bool) -> DataFrame:
+def _whole_cars(rows: DataFrame, weights: Column | Bootstrap, trees: int, depth: int, seed: int, per_node: int | None, keys: list[str], summed: bool) -> DataFrame:
     """``keys, tree, r_key, zoneid, p``, or with ``summed`` without ``tree`` and the sums of ``p`` over trees.
 
-    ``rows`` have ``role`` (0: learns, 1: asks), ``label``, ``x`` and ``n_features``.
+    ``rows`` have ``role`` (0: learns, 1: asks), ``label``, ``x`` and ``n_features``. ``weights`` are an array by tree, or drawn in the task.
     """
-    bound = SMALL_CELLS
+    bound = min(SMALL_CELLS, AT_ONCE)
 
     def work(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = np.r_[starts[1:], table.num_rows]
         sizes = table.column("n_features").to_numpy()[starts]
+        if sample:
+            learn = np.flatnonzero(table.column("role").to_numpy() == 0)
+            drawn = np.zeros((table.num_rows, trees), np.uint8)
+            drawn[learn] = sample.matrix(table.column("weights").take(pa.array(learn)).to_pylist(), trees)
         for a, b in whole.pieces(starts, (ends - starts) * np.maximum(trees, sizes), bound):
             part = table.slice(int(starts[a]), int(ends[b - 1] - starts[a])).combine_chunks()
             learns = part.column("role").to_numpy() == 0
@@ -397,7 +447,7 @@ def _whole_cars(rows: DataFrame, weights: Column, trees: int, depth: int, seed:
             names = (names.chunk(0) if isinstance(names, pa.ChunkedArray) else names).dictionary_encode(null_encoding="encode")
             x = whole.matrix(part.column("x"), int(sizes[a:b].max()))
             car = np.repeat(np.arange(b - a), (ends - starts)[a:b])
-            weights = whole.matrix(part.column("weights"), trees)
+            weights = drawn[int(starts[a]) : int(ends[b - 1])] if sample else whole.matrix(part.column("weights"), trees)
             for row, tree, zone, p in _grow_cars(car, learns, names.indices.to_numpy(), weights, x, sizes[a:b], depth, draws):
                 if summed:
                     key, at = np.unique(row * len(names.dictionary) + zone, return_inverse=True)
@@ -408,10 +458,10 @@ def _whole_cars(rows: DataFrame, weights: Column, trees: int, depth: int, seed:
                 out = out.append_column("zoneid", names.dictionary.take(pa.array(zone))).append_column("p", pa.array(p))
                 yield from out.combine_chunks().to_batches(max_chunksize=100_000)
 
-    draws = _Draws(seed, trees, per_node)
+    draws, sample = _Draws(seed, trees, per_node), weights if isinstance(weights, Bootstrap) else None
     tree = [] if summed else [F.lit(0).alias("tree")]
     schema = rows.select(*keys, *tree, "r_key", F.col("label").alias("zoneid"), F.lit(0.0).alias("p")).schema
-    return whole.by_car(rows, keys, work, schema, {"weights": weights})
+    return whole.by_car(rows, keys, work, schema, {"weights": F.col("r_key").cast("string") if sample else weights})
 
 
 def _shares(train: DataFrame, queries: DataFrame, trees: int, depth: int, seed: int, weight: Weight | None, per_node: int | None, keys: list[str], sparse: bool, summed: bool) -> DataFrame:
@@ -425,7 +475,7 @@ def _shares(train: DataFrame, queries: DataFrame, trees: int, depth: int, seed:
     weights = F.transform(numbers, (lambda tree: weight(tree).cast("int")) if weight else (lambda _: F.lit(1)))
     known = train.select(*keys, "r_key", "label", "x", "n_features", F.lit(0).alias("role"))
     asked = queries.select(*keys, "r_key", F.lit(None).cast(train.schema["label"].dataType).alias("label"), "x", "n_features", F.lit(1).alias("role"))
-    weights = F.when(F.col("role") == 0, weights).otherwise(F.array_repeat(F.lit(0), trees))
+    weights = weight if isinstance(weight, Bootstrap) else F.when(F.col("role") == 0, weights).otherwise(F.array_repeat(F.lit(0), trees))
     found = _whole_cars(known.unionByName(asked).join(small, keys, "left_semi"), weights, trees, depth, seed, per_node, keys, summed)
     if large.isEmpty():
         return found
